@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op1_packing
 from .token_counts import op8_token_counts
 from .token_files import op5_token_files
 
 
 def queries():
     return {
+        "op1_packing": op1_packing,
         "op5_token_files": op5_token_files,
         "op8_token_counts": op8_token_counts,
     }
