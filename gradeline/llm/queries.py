@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import op6_mixing
 from .packing import op1_packing
 from .token_counts import op8_token_counts
 from .token_files import op5_token_files
@@ -11,6 +12,7 @@ def queries():
     return {
         "op1_packing": op1_packing,
         "op5_token_files": op5_token_files,
+        "op6_mixing": op6_mixing,
         "op8_token_counts": op8_token_counts,
     }
 
