@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .media import op10_avi_clips
 from .mixing import op6_mixing
 from .packing import op1_packing
 from .token_counts import op8_token_counts
@@ -14,6 +15,7 @@ def queries():
         "op5_token_files": op5_token_files,
         "op6_mixing": op6_mixing,
         "op8_token_counts": op8_token_counts,
+        "op10_avi_clips": op10_avi_clips,
     }
 
 
