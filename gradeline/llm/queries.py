@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language import op4_language_codes
 from .media import op10_avi_clips
 from .mixing import op6_mixing
 from .packing import op1_packing
@@ -12,6 +13,7 @@ from .token_files import op5_token_files
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op4_language_codes": op4_language_codes,
         "op5_token_files": op5_token_files,
         "op6_mixing": op6_mixing,
         "op8_token_counts": op8_token_counts,
