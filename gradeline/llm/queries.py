@@ -5,6 +5,7 @@ from __future__ import annotations
 from .language import op4_language_codes
 from .media import op10_avi_clips
 from .mixing import op6_mixing
+from .outliers import op3_robust_outliers
 from .packing import op1_packing
 from .token_counts import op8_token_counts
 from .token_files import op5_token_files
@@ -13,6 +14,7 @@ from .token_files import op5_token_files
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op3_robust_outliers": op3_robust_outliers,
         "op4_language_codes": op4_language_codes,
         "op5_token_files": op5_token_files,
         "op6_mixing": op6_mixing,
