@@ -7,6 +7,7 @@ from .media import op10_avi_clips
 from .mixing import op6_mixing
 from .outliers import op3_robust_outliers
 from .packing import op1_packing
+from .secrets import op2_secret_scan
 from .token_counts import op8_token_counts
 from .token_files import op5_token_files
 
@@ -14,6 +15,7 @@ from .token_files import op5_token_files
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op2_secret_scan": op2_secret_scan,
         "op3_robust_outliers": op3_robust_outliers,
         "op4_language_codes": op4_language_codes,
         "op5_token_files": op5_token_files,
