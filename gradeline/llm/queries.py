@@ -7,6 +7,7 @@ from .media import op10_avi_clips
 from .mixing import op6_mixing
 from .outliers import op3_robust_outliers
 from .packing import op1_packing
+from .quality import op9_site_quality
 from .secrets import op2_secret_scan
 from .token_counts import op8_token_counts
 from .token_files import op5_token_files
@@ -21,6 +22,7 @@ def queries():
         "op5_token_files": op5_token_files,
         "op6_mixing": op6_mixing,
         "op8_token_counts": op8_token_counts,
+        "op9_site_quality": op9_site_quality,
         "op10_avi_clips": op10_avi_clips,
     }
 
