@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op7_grouped_prefix_join
 from .language import op4_language_codes
 from .media import op10_avi_clips
 from .mixing import op6_mixing
@@ -21,6 +22,7 @@ def queries():
         "op4_language_codes": op4_language_codes,
         "op5_token_files": op5_token_files,
         "op6_mixing": op6_mixing,
+        "op7_grouped_prefix_join": op7_grouped_prefix_join,
         "op8_token_counts": op8_token_counts,
         "op9_site_quality": op9_site_quality,
         "op10_avi_clips": op10_avi_clips,
