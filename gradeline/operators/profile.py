@@ -4,29 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import MILE_M
 from ..functions.geo import haversine_m
 
-BY_POINT = W.partitionBy("profile_id").orderBy("seq")
+def _by_point() -> WindowSpec:
+    return W.partitionBy("profile_id").orderBy("seq")
 
 
 def steps(points: DataFrame) -> DataFrame:
     """Each point with step_m, its distance from the one before; 0 for the first. Gaps between parts of a track count."""
-    last = {c: F.lag(c).over(BY_POINT) for c in ("lat", "lon")}
+    last = {c: F.lag(c).over(_by_point()) for c in ("lat", "lon")}
     return points.withColumn("step_m", F.coalesce(haversine_m(last["lat"], last["lon"], F.col("lat"), F.col("lon")), F.lit(0.0)))
 
 
 def cumulative(points: DataFrame) -> DataFrame:
     """Points with dist_m, the distance along the track."""
-    run = BY_POINT.rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = _by_point().rowsBetween(W.unboundedPreceding, W.currentRow)
     return steps(points).withColumn("dist_m", F.sum("step_m").over(run)).drop("step_m")
 
 
 def gain_loss(points: DataFrame) -> DataFrame:
     """gain_m, loss_m and max_vert_m of each profile, from raw differences."""
-    d = F.col("ele_m") - F.lag("ele_m").over(BY_POINT)
+    d = F.col("ele_m") - F.lag("ele_m").over(_by_point())
     sums = points.select("profile_id", d.alias("d")).groupBy("profile_id").agg(
         F.sum(F.greatest(F.coalesce("d", F.lit(0.0)), F.lit(0.0))).alias("gain_m"), F.sum(F.greatest(-F.coalesce("d", F.lit(0.0)), F.lit(0.0))).alias("loss_m")
     )
@@ -43,8 +45,8 @@ def summary(points: DataFrame) -> DataFrame:
 def stretches(points: DataFrame, *values: str) -> DataFrame:
     """The half-open stretches [x0, x1) between knots, with v0 and v1 of each value; before the first knot and after the
     last the value is constant. Of several knots at one distance the last begins the next stretch."""
-    edge = F.lead("dist_m").over(BY_POINT)
-    inner = points.select("profile_id", F.col("dist_m").alias("x0"), edge.alias("x1"), *(c for v in values for c in (F.col(v).alias(f"{v}0"), F.lead(v).over(BY_POINT).alias(f"{v}1"))))
+    edge = F.lead("dist_m").over(_by_point())
+    inner = points.select("profile_id", F.col("dist_m").alias("x0"), edge.alias("x1"), *(c for v in values for c in (F.col(v).alias(f"{v}0"), F.lead(v).over(_by_point()).alias(f"{v}1"))))
     inner = inner.where("x1 IS NULL OR x1 > x0").withColumn("x1", F.coalesce("x1", F.lit(float("inf"))))
     first = points.where("seq = 0").select("profile_id", F.lit(float("-inf")).alias("x0"), F.col("dist_m").alias("x1"), *(c for v in values for c in (F.col(v).alias(f"{v}0"), F.col(v).alias(f"{v}1"))))
     return inner.unionByName(first)

@@ -53,7 +53,7 @@ def search(spark: SparkSession, segments: DataFrame, streams: DataFrame, roads:
     """The ranked matches. Rows are taken in order on the executors, so only top rows meet in one task."""
     candidates = length_filter(tile_scan(segments, tile_grid(spark, c), c), target.length_m, c)
     near = streams.join(candidates.select(F.col("id").alias("segment_id")), "segment_id", "left_semi")
-    found = best_window(near, target, c).join(candidates.select(F.col("id").alias("segment_id"), "name", "distance", "discovery_idx"), "segment_id")
+    found = best_window(near, target, c).join(candidates.select(F.col("id").alias("segment_id"), "name", "distance", "discovery_idx"), "segment_id").persist()  # a row per candidate, read by the road lookup and again for the ranking
     scored = with_access(found, roads, c).withColumn("final_score", F.col("score") + F.col("access_penalty"))
     best = scored.orderBy("final_score", "discovery_idx").limit(c.top)
     ranked = best.withColumn("rank", F.row_number().over(W.orderBy("final_score", "discovery_idx")))
