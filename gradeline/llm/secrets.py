@@ -33,6 +33,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CLASSES = len(ALPHABET) + 1
 #: Least log likelihood ratio of a secret, in all and for each pair of characters.
 RATIO, RATIO_EACH = 20.0, 0.5
+#: Pairs that a class's row of a model is shrunk by.
+SHRINK = 20.0
 #: Bounds of the labelled samples: documents that words are taken from, and random strings of each form.
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 1000
 
@@ -57,8 +59,9 @@ def _counts(strings: DataFrame) -> dict[tuple[int, int], int]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """The log likelihood ratios of all pairs of classes, random over ordinary.
 
-    Random: digests written in base 64, base 16 and as key-like capitals, and the values that the base patterns find in
-    the sample. Ordinary: all other words of the sample, and neighbouring words joined as identifiers are. The sample is
+    Random: digests written in base 64, with and without its signs, and as key-like capitals, and the values that the
+    base patterns find in the sample, but those in base 16, which have a pattern. Ordinary: all other words of the sample that are
+    too short to be judged, and neighbouring ones joined as identifiers are. The sample is
     at most SAMPLE_DOCS documents in expectation, by a hash of the id.
     """
     spark = docs.sparkSession
@@ -66,20 +69,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
     sample = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     keys = F.concat(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))
-    found = sample.select(F.explode(keys).alias("s")).where(F.length("s") >= 16)
+    found = sample.select(F.explode(keys).alias("s")).where((F.length("s") >= 16) & ~F.col("s").rlike("^[0-9a-f]+$"))
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
-    made = spark.range(SAMPLE_STRINGS).select(F.explode(F.array(F.substring(F.base64(F.unhex(digest)), 1, 40), F.substring(digest, 1, 40), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""))).alias("s"))
+    made = spark.range(SAMPLE_STRINGS).select(F.explode(F.array(F.substring(F.base64(F.unhex(digest)), 1, 40), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""))).alias("s"))
     clear = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = F.regexp_extract_all(clear, F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0))
+    words = F.filter(F.regexp_extract_all(clear, F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0)), lambda w: F.length(w) < 20)
     joined = F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> concat(a, element_at(array('_', '-', '/', ''), cast(pmod(hash(a), 4) as int) + 1), b))")
     ordinary = sample.select(words.alias("w")).select(F.explode(F.concat(F.col("w"), joined)).alias("s"))
     random, plain = _counts(found.unionByName(made)), _counts(ordinary)
+    random, plain = _probabilities(random), _probabilities(plain)
+    return [round(log(random[i]) - log(plain[i]), 6) for i in range(CLASSES * CLASSES)]
+
+
+def _probabilities(counts: dict[tuple[int, int], int]) -> list[float]:
+    """Of each class after each other, shrunk towards how often the class comes at all."""
+    whole = sum(counts.values())
+    alone = [(sum(counts.get((a, b), 0) for a in range(CLASSES)) + 0.5) / (whole + 0.5 * CLASSES) for b in range(CLASSES)]
     out = []
     for a in range(CLASSES):
-        totals = [sum(m.get((a, b), 0) for b in range(CLASSES)) for m in (random, plain)]
-        for b in range(CLASSES):
-            p, q = ((m.get((a, b), 0) + 0.5) / (t + 0.5 * CLASSES) for m, t in zip((random, plain), totals))
-            out.append(round(log(p) - log(q), 6))
+        total = sum(counts.get((a, b), 0) for b in range(CLASSES))
+        out += [(counts.get((a, b), 0) + SHRINK * alone[b]) / (total + SHRINK) for b in range(CLASSES)]
     return out
 
 
