@@ -210,7 +210,7 @@ def _decode(layout: Layout, frames: list[bytes]) -> np.ndarray:
     sizes = np.fromiter(map(len, datas), np.int64, lanes)
     base = np.cumsum(sizes) - sizes
     out = np.zeros((lanes, end + 64), np.int32)
-    lane, pos, k, limit = np.arange(lanes), base * 8, np.zeros(lanes, np.int64), (base + sizes) * 8
+    lane, pos, k, limit = np.arange(lanes), base * 8, np.zeros(lanes, np.int64), (base + sizes - 8) * 8
     dc, ac = np.append(layout.dc, 0), np.append(layout.ac, 0)
     while len(lane):
         for _ in range(16):

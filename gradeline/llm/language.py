@@ -34,7 +34,7 @@ UNKNOWN = "und"
 #: Score under which a document is ambiguous.
 SURE = 0.7
 #: Bytes of text whose features are made at a time.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 _fold = np.full(256, 32, np.uint8)
 _fold[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -105,6 +105,8 @@ class Model:
 
 def codewords(n: int) -> np.ndarray:
     """Language, bit: all two-sided splits of up to six languages, else ten bits per doubling drawn with a fixed seed."""
+    if n < 2:
+        return np.ones((n, 1), np.int64)
     if n <= 6:
         bits = [[1 if i == 0 or not m >> (i - 1) & 1 else -1 for i in range(n)] for m in range(1, 1 << max(n - 1, 0))]
         return np.array(bits, np.int64).reshape(-1, n).T
