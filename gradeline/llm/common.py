@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of documents in one Arrow batch. Texts are whole, so this bounds what a Python worker holds.
-ARROW_ROWS = "1000"
+ARROW_ROWS = "500"
 
 #: Separators of words in the contracts: blank and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,11 @@ from .components import components
 WORDS, NEAR = 3, 90
 #: Hash buckets of shingles that are counted, in blocks of so many; bits of a bitmap.
 BUCKETS, BLOCK, BITS = 1 << 18, 1 << 10, 512
+#: Marks of a filter: which shingles, or ids, may be among those sought. Their number is fixed, so a filter that fills up
+#: lets more through to the joins behind it and costs time, not results.
+MARKS = 1 << 25
 #: Bytes of text that are hashed at a time.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 _U = np.uint64
 _rng = np.random.default_rng(7)
@@ -159,10 +163,45 @@ def _prefixed(counts: np.ndarray):
     return make
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "s"])
+def _marks(df: DataFrame, col: str) -> np.ndarray:
+    """MARKS bits, of which those at the values of a column are set. At most MARKS bits reach the driver."""
+    place = F.pmod(F.col(col), F.lit(MARKS)) + 1
+    rows = df.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("b")).collect()
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in rows:
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["b"], np.uint8)
+    return out
+
+
+def _marked(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.mod(values, MARKS)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sets_of(marks: np.ndarray):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_marked(marks, batch.column(0).to_numpy())))
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "s"])
+
+    return make
+
+
+def _entries(marks: np.ndarray):
+    """The prefix shingles of groups that may be in a list."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column(2)).to_numpy()
+            token = batch.column(2).flatten().to_numpy()
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            on = _marked(marks, token)
+            of = pa.array(of[on])
+            yield pa.RecordBatch.from_arrays([pa.array(token[on]), pa.array(place[on].astype(np.int32)), batch.column(0).take(of), batch.column(1).take(of)], names=["token", "p", "gid", "n"])
+
+    return make
 
 
 def _overlap(a: str, b: str) -> str:
@@ -182,8 +221,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     close = pairs.distinct().join(left, "u").join(right, "v").where(f"{differ} <= nu + nv - 2 * {_overlap('nu', 'nv')}").select("u", "v", "nu", "nv")
     close = written(close, "close-pairs")
     wanted = close.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    found = written(texts.select("doc_id", "text").mapInArrow(_sets_of, "rep long, s array<long>").dropDuplicates(["rep"]), "verify-sets")
+    marks = _marks(wanted, "doc_id")
+    found = written(docs.where("doc_id IS NOT NULL").mapInArrow(_sets_of(marks), "rep long, s array<long>"), "verify-sets")
     a, b = (found.select(F.col("rep").alias(c), F.col("s").alias(f"s{c}")) for c in ("u", "v"))
     both = F.size(F.array_intersect("su", "sv"))
     return close.join(a, "u").join(b, "v").where((NEAR + 100) * both >= NEAR * (F.col("nu") + F.col("nv"))).select("u", "v")
@@ -200,7 +239,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(every.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("rep")), "classes")
     groups = written(classes.groupBy("grp").agg(F.min("rep").alias("gid"), F.count("*").alias("members")), "groups")
     members = written(classes.join(groups, "grp").select("rep", "gid", "members"), "members")
-    firsts = every.join(members.select(F.col("rep").alias("doc_id"), "gid", "members"), "doc_id").dropDuplicates(["doc_id"])
+    firsts = every.join(members.select(F.col("rep").alias("doc_id"), "gid", "members"), "doc_id")
     sets = written(firsts.select(F.col("doc_id").alias("rep"), "n", "bitmap"), "sets")
     heads = written(firsts.where("doc_id = gid").select("gid", "n", "members", "prefix"), "group-prefixes")
 
@@ -208,7 +247,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = heads.select(F.posexplode("prefix").alias("p", "token"), "gid", "n", "members")
     shared = entries.groupBy("token").agg(F.sum("members").alias("c"), F.min(F.struct("p", "gid", "n")).alias("pivot")).where("c > 1")
     shared = written(shared, "lists")
-    lists = written(entries.join(shared.select("token"), "token", "left_semi").drop("members"), "entries")
+    likely = heads.select("gid", "n", "prefix").mapInArrow(_entries(_marks(shared, "token")), "token long, p int, gid long, n long")
+    lists = written(likely.join(shared.select("token"), "token", "left_semi"), "entries")
 
     pivots = shared.select("token", "pivot.p", "pivot.gid", "pivot.n").alias("a")
     first = lists.alias("b").join(pivots, F.expr(f"a.token = b.token AND a.gid <> b.gid AND {_plausible('a', 'b')}")).selectExpr("least(a.gid, b.gid) AS u", "greatest(a.gid, b.gid) AS v")
