@@ -59,6 +59,14 @@ def _remove(path: str) -> None:
         shutil.rmtree(local_path(path), ignore_errors=True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again, so that a long plan holds little disk."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors and is read by column."""
     path = fresh_path(df.sparkSession, name)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(now)
     while True:
-        now = written(_small(_large(now)), "links")
+        last, now = now, written(_small(_large(now)), "links")
+        discard(last)
         state, before = _state(now), state
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, written
+from .common import discard, documents, small_batches, written
 from .components import components
 
 #: Words of a shingle and the similarity of a link, in percent.
@@ -215,17 +215,20 @@ def _plausible(a: str, b: str) -> str:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of representatives that link."""
+    """The pairs (u, v) of representatives that link. Sets and bitmaps are merged in by key at any size: both sides grow."""
     left, right = (sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"b{c}")) for c in ("u", "v"))
     differ = "aggregate(zip_with(bu, bv, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    close = pairs.distinct().join(left, "u").join(right, "v").where(f"{differ} <= nu + nv - 2 * {_overlap('nu', 'nv')}").select("u", "v", "nu", "nv")
+    close = pairs.distinct().join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(f"{differ} <= nu + nv - 2 * {_overlap('nu', 'nv')}").select("u", "v", "nu", "nv")
     close = written(close, "close-pairs")
     wanted = close.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     marks = _marks(wanted, "doc_id")
     found = written(docs.where("doc_id IS NOT NULL").mapInArrow(_sets_of(marks), "rep long, s array<long>"), "verify-sets")
     a, b = (found.select(F.col("rep").alias(c), F.col("s").alias(f"s{c}")) for c in ("u", "v"))
     both = F.size(F.array_intersect("su", "sv"))
-    return close.join(a, "u").join(b, "v").where((NEAR + 100) * both >= NEAR * (F.col("nu") + F.col("nv"))).select("u", "v")
+    links = close.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where((NEAR + 100) * both >= NEAR * (F.col("nu") + F.col("nv"))).select("u", "v")
+    links = written(links, "links")
+    discard(close, found)
+    return links
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,24 +248,26 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # lists under prefix shingles that more than one document has
     entries = heads.select(F.posexplode("prefix").alias("p", "token"), "gid", "n", "members")
-    shared = entries.groupBy("token").agg(F.sum("members").alias("c"), F.min(F.struct("p", "gid", "n")).alias("pivot")).where("c > 1")
-    shared = written(shared, "lists")
+    shared = written(entries.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token"), "lists")
     likely = heads.select("gid", "n", "prefix").mapInArrow(_entries(_marks(shared, "token")), "token long, p int, gid long, n long")
-    lists = written(likely.join(shared.select("token"), "token", "left_semi"), "entries")
+    lists = written(likely.join(shared, "token", "left_semi"), "entries")
+    discard(shared, heads)
 
-    pivots = shared.select("token", "pivot.p", "pivot.gid", "pivot.n").alias("a")
+    pivots = lists.groupBy("token").agg(F.min(F.struct("p", "gid", "n")).alias("x")).select("token", "x.p", "x.gid", "x.n").alias("a")
     first = lists.alias("b").join(pivots, F.expr(f"a.token = b.token AND a.gid <> b.gid AND {_plausible('a', 'b')}")).selectExpr("least(a.gid, b.gid) AS u", "greatest(a.gid, b.gid) AS v")
     first = first.unionByName(members.where("rep <> gid").selectExpr("gid AS u", "rep AS v"))
-    links = written(_verified(first, sets, docs), "links")
+    links = _verified(first, sets, docs)
     so_far = components(links)
 
     placed = members.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", F.coalesce("component", "rep").alias("comp"))
     spread = written(lists.join(placed, "gid"), "placed")
     mixed = spread.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     rest = written(spread.join(mixed, "token", "left_semi"), "placed")
+    discard(lists, spread)
     second = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND a.rep < b.rep AND {_plausible('a', 'b')}")).selectExpr("a.rep AS u", "b.rep AS v")
     more = _verified(second, sets, docs)
     found = components(links.unionByName(more))
+    discard(rest)
 
     final = written(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "class-components")
     return every.join(final, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
