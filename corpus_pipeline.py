@@ -14,6 +14,8 @@ from gradeline.llm import jaccard, language, mixing, packing, secrets
 from gradeline.llm.common import documents, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies of the corpus: words of a shingle and least Jaccard similarity, in percent. op7_grouped_prefix_join has its own.
+COPY_WORDS, COPY_NEAR = 5, 80
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +27,10 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of near copies, and those that have no shingles.
 
+    Near copies share COPY_NEAR percent or more of their distinct shingles of COPY_WORDS words, directly or by a chain.
     Rows that repeat an id are one document; so are rows without an id and with equal columns.
     """
-    found = jaccard.near_components(docs)
+    found = jaccard.near_components(docs, words=COPY_WORDS, near=COPY_NEAR)
     kept = found.where("component_id = doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL").distinct())
 

@@ -1,4 +1,4 @@
-"""Grouped prefix join: documents whose sets of word shingles have a Jaccard similarity of at least NEAR.
+"""Grouped prefix join: documents whose sets of word shingles have a Jaccard similarity of at least near percent.
 
 1. Texts become sets of hashed shingles, ordered by how many documents hold them (counted in hash buckets) from the
    rarest. Similar sets share a shingle among the first few of each: their prefixes. Equal sets are one set from here.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import discard, documents, small_batches, written
 from .components import components
 
-#: Words of a shingle and the similarity of a link, in percent.
+#: Words of a shingle and the similarity of a link, in percent, where a caller names none: those of op7_grouped_prefix_join.
 WORDS, NEAR = 3, 90
 #: Hash buckets of shingles that are counted, in blocks of so many; bits of a bitmap.
 BUCKETS, BLOCK, BITS = 1 << 18, 1 << 10, 512
@@ -106,24 +106,27 @@ def _sets(data: list[bytes], words: int) -> list[np.ndarray]:
     return sets
 
 
-def _need(n: int) -> int:
+def _need(n: int, near: int) -> int:
     """The least overlap of a set of n with any that it links with."""
-    return -(-n * NEAR // 100)
+    return -(-n * near // 100)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> _U(40)).astype(np.int64) & (BUCKETS - 1)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        sets = shingle_sets(batch.column(0).to_pylist())
-        if sets:
-            total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
-    if total.any():
-        blocks = total.astype("<i8").reshape(-1, BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([r.tobytes() for r in blocks], pa.binary())], names=["block", "counts"])
+def _count(words: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            sets = shingle_sets(batch.column(0).to_pylist(), words)
+            if sets:
+                total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
+        if total.any():
+            blocks = total.astype("<i8").reshape(-1, BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([r.tobytes() for r in blocks], pa.binary())], names=["block", "counts"])
+
+    return make
 
 
 def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -131,9 +134,9 @@ def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "counts": [total.astype("<i8").tobytes()]})
 
 
-def _bucket_counts(docs: DataFrame) -> np.ndarray:
+def _bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles of all documents in each hash bucket: BUCKETS numbers, however large the input."""
-    parts = docs.select("text").mapInArrow(_count, "block int, counts binary")
+    parts = docs.select("text").mapInArrow(_count(words), "block int, counts binary")
     rows = parts.groupBy("block").applyInPandas(_summed, "block int, counts binary").collect()
     counts = np.zeros(BUCKETS, np.int64)
     for r in rows:
@@ -141,17 +144,17 @@ def _bucket_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def _prefixed(counts: np.ndarray):
+def _prefixed(counts: np.ndarray, words: int, near: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
+            sets = shingle_sets(batch.column(1).to_pylist(), words)
             n, digest, group, prefix, bitmap = [], [], [], [], []
             for h in sets:
                 n.append(len(h))
                 if not len(h):
                     digest.append(None), group.append(None), prefix.append(None), bitmap.append(None)
                     continue
-                own = h[np.lexsort((h, counts[_bucket(h)]))[: len(h) - _need(len(h)) + 1]].view(np.int64)
+                own = h[np.lexsort((h, counts[_bucket(h)]))[: len(h) - _need(len(h), near) + 1]].view(np.int64)
                 digest.append(hashlib.md5(h.tobytes()).digest())
                 group.append(hashlib.md5(len(h).to_bytes(8, "little") + own.tobytes()).digest())
                 prefix.append(own)
@@ -178,11 +181,11 @@ def _marked(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _sets_of(marks: np.ndarray):
+def _sets_of(marks: np.ndarray, words: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(_marked(marks, batch.column(0).to_numpy())))
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist())]
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "s"])
 
     return make
@@ -204,39 +207,39 @@ def _entries(marks: np.ndarray):
     return make
 
 
-def _overlap(a: str, b: str) -> str:
+def _overlap(a: str, b: str, near: int) -> str:
     """SQL of the least overlap with which sets of these sizes link."""
-    return f"(({NEAR} * ({a} + {b}) + {NEAR + 99}) div {NEAR + 100})"
+    return f"(({near} * ({a} + {b}) + {near + 99}) div {near + 100})"
 
 
-def _plausible(a: str, b: str) -> str:
+def _plausible(a: str, b: str, near: int) -> str:
     """Filter of a pair by sizes n and by the places p of a shingle that both prefixes hold."""
-    return f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {NEAR} AND least({a}.n - {a}.p, {b}.n - {b}.p) >= {_overlap(f'{a}.n', f'{b}.n')}"
+    return f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {near} AND least({a}.n - {a}.p, {b}.n - {b}.p) >= {_overlap(f'{a}.n', f'{b}.n', near)}"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, near: int) -> DataFrame:
     """The pairs (u, v) of representatives that link. Sets and bitmaps are merged in by key at any size: both sides grow."""
     left, right = (sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"b{c}")) for c in ("u", "v"))
     differ = "aggregate(zip_with(bu, bv, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    close = pairs.distinct().join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(f"{differ} <= nu + nv - 2 * {_overlap('nu', 'nv')}").select("u", "v", "nu", "nv")
+    close = pairs.distinct().join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(f"{differ} <= nu + nv - 2 * {_overlap('nu', 'nv', near)}").select("u", "v", "nu", "nv")
     close = written(close, "close-pairs")
     wanted = close.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     marks = _marks(wanted, "doc_id")
-    found = written(docs.where("doc_id IS NOT NULL").mapInArrow(_sets_of(marks), "rep long, s array<long>"), "verify-sets")
+    found = written(docs.where("doc_id IS NOT NULL").mapInArrow(_sets_of(marks, words), "rep long, s array<long>"), "verify-sets")
     a, b = (found.select(F.col("rep").alias(c), F.col("s").alias(f"s{c}")) for c in ("u", "v"))
     both = F.size(F.array_intersect("su", "sv"))
-    links = close.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where((NEAR + 100) * both >= NEAR * (F.col("nu") + F.col("nv"))).select("u", "v")
+    links = close.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where((near + 100) * both >= near * (F.col("nu") + F.col("nv"))).select("u", "v")
     links = written(links, "links")
     discard(close, found)
     return links
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, near: int = NEAR) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document: shingles of so many words, links from near percent on."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = _bucket_counts(docs)
-    every = written(docs.mapInArrow(_prefixed(counts), "doc_id long, n long, digest binary, grp binary, prefix array<long>, bitmap array<long>"), "prefixes")
+    counts = _bucket_counts(docs, words)
+    every = written(docs.mapInArrow(_prefixed(counts, words, near), "doc_id long, n long, digest binary, grp binary, prefix array<long>, bitmap array<long>"), "prefixes")
 
     # equal sets, and groups of one size and prefix; both are named by their smallest id
     classes = written(every.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("rep")), "classes")
@@ -254,9 +257,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(shared, heads)
 
     pivots = lists.groupBy("token").agg(F.min(F.struct("p", "gid", "n")).alias("x")).select("token", "x.p", "x.gid", "x.n").alias("a")
-    first = lists.alias("b").join(pivots, F.expr(f"a.token = b.token AND a.gid <> b.gid AND {_plausible('a', 'b')}")).selectExpr("least(a.gid, b.gid) AS u", "greatest(a.gid, b.gid) AS v")
+    first = lists.alias("b").join(pivots, F.expr(f"a.token = b.token AND a.gid <> b.gid AND {_plausible('a', 'b', near)}")).selectExpr("least(a.gid, b.gid) AS u", "greatest(a.gid, b.gid) AS v")
     first = first.unionByName(members.where("rep <> gid").selectExpr("gid AS u", "rep AS v"))
-    links = _verified(first, sets, docs)
+    links = _verified(first, sets, docs, words, near)
     so_far = components(links)
 
     placed = members.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", F.coalesce("component", "rep").alias("comp"))
@@ -264,8 +267,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = spread.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     rest = written(spread.join(mixed, "token", "left_semi"), "placed")
     discard(lists, spread)
-    second = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND a.rep < b.rep AND {_plausible('a', 'b')}")).selectExpr("a.rep AS u", "b.rep AS v")
-    more = _verified(second, sets, docs)
+    second = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND a.rep < b.rep AND {_plausible('a', 'b', near)}")).selectExpr("a.rep AS u", "b.rep AS v")
+    more = _verified(second, sets, docs, words, near)
     found = components(links.unionByName(more))
     discard(rest)
 
@@ -275,4 +278,4 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op7_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components of all documents."""
-    return near_components(documents(spark, sf_dir))
+    return near_components(documents(spark, sf_dir), words=WORDS, near=NEAR)

@@ -351,3 +351,28 @@ def test_pipeline_stages(spark, docs, empty):
             if name == "secrets" and start is docs:
                 assert now.where("text LIKE '%AKIA%'").count() == 0
         assert (pipeline.STAGES[-1][1](spark, now, "").count() > 0) == (start is docs)
+
+
+def test_pipeline_drops_copies_from_four_fifths_on(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+
+    def fives(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rows, kept = [], []
+    for g, n in enumerate((104, 64, 40, 24)):
+        base = [f"w{g}x{i}" for i in range(n)]
+        for put in range(0, n, 7):
+            other = base[:put] + ["new"] * (1 + n // 40) + base[put + 1 + n // 40 :]
+            a, b = fives(" ".join(base)), fives(" ".join(other))
+            tag = f"v{g}p{put}"
+            i = len(rows)
+            rows += [(i, " ".join(tag + x for x in base)), (i + 1, " ".join(tag + x if x != "new" else x for x in other))]
+            kept += [i] if 5 * len(a & b) >= 4 * len(a | b) else [i, i + 1]
+    sim = [len(shingles(a[1]) & shingles(b[1])) / len(shingles(a[1]) | shingles(b[1])) for a, b in zip(rows[::2], rows[1::2]) if b[0] not in kept]
+    assert min(sim) < 0.9 and len(kept) > len(rows) // 2
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r["doc_id"] for r in pipeline.without_copies(spark, docs, "").collect()) == kept
+    got = jaccard.near_components(docs, words=5, near=80).collect()
+    assert all(r["n_shingles"] == len(fives(rows[r["doc_id"]][1])) for r in got)
