@@ -2,7 +2,8 @@
 
 Every document becomes a vector of transformed text statistics. For each language and source the centre and covariance
 of these vectors are estimated by minimum covariance determinant: starting from medians and absolute deviations, the
-nearest HALF of the vectors give a new centre and covariance, again and again. A document is rejected if it fails the
+nearest (n + P + 1) / 2 of the n vectors give a new centre and covariance, until the limit of the subset settles. So
+outliers may be nearly half of a group. A document is rejected if it fails the
 base rules or if its squared Mahalanobis distance is over FAR.
 
 Estimates use the distinct vectors of documents that pass the base rules, so copies count once. A source with under
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import log, log1p
 
 import numpy as np
@@ -31,8 +33,11 @@ from .common import documents, small_batches, written
 #: The statistics, and the least spread of each.
 FLOOR = {"word_length": 0.06, "symbols": 0.25, "dup_lines": 0.2, "repeats": 0.2, "capitals": 0.04, "digits": 0.25, "marks": 0.12, "variety": 0.04}
 P = len(FLOOR)
-#: Share of vectors in the subset, number of steps, vectors that a group needs.
-HALF, STEPS, ENOUGH = 0.75, 3, 200
+#: Shares that the subset of a group may be: a quantile's share must be constant, so each group picks its own of these.
+SHARES = [round(0.5 + k / 1000, 3) for k in range(501)]
+#: Relative change of a subset's limit under which it has settled, and most steps for one that keeps on changing, as
+#: quantiles are approximate; vectors that a group needs.
+SETTLED, MOST_STEPS, ENOUGH = 1e-3, 50, 200
 #: The median of the chi-squared distribution with P degrees of freedom.
 MIDDLE = P * (1 - 2 / (9 * P)) ** 3
 #: Squared distance over which a document is rejected: about the 0.99995 quantile of that distribution.
@@ -106,15 +111,13 @@ def _v(i: int) -> Column:
 
 
 def _distance() -> Column:
-    """The squared distance of v from centre under the flat inverse covariance."""
-    d = [_v(i) - F.col("centre")[i] for i in range(P)]
-    total = F.lit(0.0)
-    for i in range(P):
-        row = F.lit(0.0)
-        for j in range(P):
-            row = row + F.col("inverse")[i * P + j] * d[j]
-        total = total + d[i] * row
-    return total
+    """The squared distance of v from centre under the flat inverse covariance.
+
+    Lambdas, as 64 products written out make a method that is too long for the JVM to compile.
+    """
+    return F.expr(
+        f"aggregate(transform(sequence(0, {P - 1}), i -> (v[i] - centre[i]) * aggregate(zip_with(zip_with(v, centre, (x, c) -> x - c), slice(inverse, i * {P} + 1, {P}), (d, m) -> d * m), 0D, (s, x) -> s + x)), 0D, (s, x) -> s + x)"
+    )
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -142,11 +145,20 @@ def estimates(stats: DataFrame) -> DataFrame:
     quartiles = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile_approx(_v(i), [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)]).where((F.col("n") >= ENOUGH) | (F.col("key") == "*"))
     spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + f * f for i, f in enumerate(FLOOR.values())]
     found = quartiles.select("key", F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("centre"), F.array(*[1 / spread[i // P] if i // P == i % P else F.lit(0.0) for i in range(P * P)]).alias("inverse"))
-    for _ in range(STEPS):
-        found = written(found, "estimate")
-        near = rows.join(found, "key").select("key", "v", _distance().alias("d"))
-        limit = near.groupBy("key").agg(F.percentile_approx("d", HALF, 1000).alias("limit"))
-        found = _moments(near.join(limit, "key").where("d <= limit")).mapInPandas(_inverted, "key string, centre array<double>, inverse array<double>")
+    share = F.least(F.floor((F.col("n") + P + 1) / 2), F.col("n")) / F.col("n")
+    place = F.greatest(F.lit(0), F.ceil((share - 0.5) * 1000 - 1e-6)).cast("int")
+    moving, settled = written(found.withColumn("limit", F.lit(None).cast("double")), "estimate"), []
+    for _ in range(MOST_STEPS):
+        near = rows.join(moving.select("key", "centre", "inverse"), "key").select("key", "v", _distance().alias("d"))
+        limit = near.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("d", SHARES, 1000).alias("q")).select("key", F.get("q", place).alias("limit"))
+        fresh = _moments(near.join(limit, "key").where("d <= limit")).mapInPandas(_inverted, "key string, centre array<double>, inverse array<double>")
+        last = moving.select("key", F.col("limit").alias("before"))
+        step = written(fresh.join(limit, "key").join(last, "key").withColumn("still", F.coalesce(F.abs(F.col("limit") - F.col("before")) <= SETTLED * F.col("before"), F.lit(False))), "estimate")
+        settled.append(step.where("still").select("key", "centre", "inverse"))
+        moving = step.where("NOT still").select("key", "centre", "inverse", "limit")
+        if moving.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, settled, moving.select("key", "centre", "inverse"))
     found = written(found, "estimate")
     # the subset's covariance is too small by construction; its median distance tells by how much
     scale = rows.join(found, "key").select("key", _distance().alias("d")).groupBy("key").agg(F.greatest(F.lit(1.0), F.percentile_approx("d", 0.5, 1000) / MIDDLE).alias("scale"))

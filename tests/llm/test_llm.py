@@ -376,3 +376,10 @@ def test_pipeline_drops_copies_from_four_fifths_on(spark):
     assert sorted(r["doc_id"] for r in pipeline.without_copies(spark, docs, "").collect()) == kept
     got = jaccard.near_components(docs, words=5, near=80).collect()
     assert all(r["n_shingles"] == len(fives(rows[r["doc_id"]][1])) for r in got)
+
+
+def test_outliers_of_a_source_that_is_two_fifths_junk(spark):
+    good = [(i, prose(2000 + i), "en", "hot") for i in range(360)]
+    bad = [(1000 + i, "".join(w + "### " for w in prose(4000 + i).split()), "en", "hot") for i in range(240)]
+    rows = {r["doc_id"]: r["kept"] for r in outliers.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(rows[i] for i, *_ in bad) and sum(rows[i] for i, *_ in good) >= 355
