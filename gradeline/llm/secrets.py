@@ -2,7 +2,8 @@
 
 Two models of neighbouring characters, one of random strings and one of ordinary identifiers and words, are trained from
 labelled samples. A long run of key characters is a secret if the random model explains it better by a clear log
-likelihood ratio. Everything runs as DataFrame functions in the JVM; the model is one array of CLASSES squared numbers.
+likelihood ratio. If it doesn't as a whole, each stretch of it that does is one, widened to the next sign that joins
+words, so what surrounds a key can't outweigh it. Everything runs as DataFrame functions in the JVM; the model is one array of CLASSES squared numbers.
 
 Places are in code points, ends exclusive. They come from the gaps between matches: match i starts where the gaps before
 it and the matches before it end. Whole texts are scanned. A null text is an empty one and has no secrets. Rows are kept
@@ -28,6 +29,7 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "random"]
 
 #: Runs that the models judge. A shorter one tells too little.
+LEAST = 20
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CLASSES = len(ALPHABET) + 1
@@ -103,7 +105,11 @@ def _spans(no: int, pattern: str, ok: str = "true", group: int | None = None) ->
         start = acc["at"] + F.length(x["g"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         here = F.array(F.struct(start.alias("start"), F.lit(no).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & _holds(ok, x["v"]), F.concat(acc["found"], here)).otherwise(acc["found"]).alias("found"))
+        found = F.when(x["m"].isNotNull() & _holds(ok, x["v"]), F.concat(acc["found"], here))
+        if isinstance(ok, list):
+            part = F.transform(_stretches(ok, x["v"]), lambda p: F.struct((start + p["a"]).alias("start"), F.lit(no).alias("kind"), (start + p["b"]).alias("end")))
+            found = found.when(x["m"].isNotNull(), F.concat(acc["found"], part))
+        return F.struct(end.alias("at"), found.otherwise(acc["found"]).alias("found"))
 
     walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr(none).alias("found")), step)["found"]
     return F.when(F.col("t").rlike(pattern), walked).otherwise(F.expr(none))
@@ -114,14 +120,45 @@ def _holds(ok: str | list[float], value: Column) -> Column:
         return F.lit(True)
     if ok == "long":
         return F.length(value) >= ASSIGN_LEAST
-    table = F.expr(_array(ok, "double"))
-    classes = F.transform(F.split(value, ""), _class)
     n = F.length(value) - 1
-    pairs = F.zip_with(F.slice(classes, 1, n), F.slice(classes, 2, n), lambda a, b: F.get(table, a * CLASSES + b))
-    ratio = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+    ratio = F.aggregate(_pairs(ok, value), F.lit(0.0), lambda s, x: s + x)
     return (ratio >= RATIO) & (ratio >= RATIO_EACH * n)
 
 
+def _pairs(model: list[float], value: Column) -> Column:
+    """The log likelihood ratio of each pair of neighbouring characters."""
+    table = F.expr(_array(model, "double"))
+    classes = F.transform(F.split(value, ""), _class)
+    n = F.length(value) - 1
+    return F.zip_with(F.slice(classes, 1, n), F.slice(classes, 2, n), lambda a, b: F.get(table, a * CLASSES + b))
+
+
+def _stretches(model: list[float], value: Column) -> Column:
+    """All stretches (a, b) of a run that are secrets by themselves, of RUN's least length or more when widened.
+
+    A running sum of what each pair has over RATIO_EACH starts anew at zero, and where it fell by RATIO.
+    """
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("a"), F.lit(0.0).alias("best"), F.lit(0).alias("b"), none.alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at, total = acc["at"] + 1, acc["sum"] + x - RATIO_EACH
+        over = (total <= 0) | (total <= acc["best"] - RATIO)
+        good = over & (acc["best"] + RATIO_EACH * (acc["b"] - acc["a"]) >= RATIO)
+        one = F.array(F.struct(acc["a"].alias("a"), (acc["b"] + 1).alias("b")))
+        return F.struct(
+            at.alias("at"), F.when(over, 0.0).otherwise(total).alias("sum"), F.when(over, at).otherwise(acc["a"]).alias("a"),
+            F.when(over, 0.0).otherwise(F.greatest(acc["best"], total)).alias("best"),
+            F.when(over, at).when(total > acc["best"], at).otherwise(acc["b"]).alias("b"), F.when(good, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"),
+        )
+
+    found = F.aggregate(F.concat(_pairs(model, value), F.array(F.lit(-1e9))), zero, step)["found"]
+    before = lambda p: F.length(F.regexp_extract(F.substring(value, F.lit(1), p["a"]), "[A-Za-z0-9+]*$", 0))
+    after = lambda p: F.length(F.regexp_extract(F.substring(value, p["b"] + 1, F.length(value)), "^[A-Za-z0-9+]*", 0))
+    wide = F.transform(found, lambda p: F.struct((p["a"] - before(p)).alias("a"), (p["b"] + after(p)).alias("b")))
+    return F.array_distinct(F.filter(wide, lambda p: p["b"] - p["a"] >= LEAST))
+
+
 def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
     """docs with secrets: all spans (start, kind, end), by start and then kind. Kinds count as in KINDS."""
     found = docs.withColumn("t", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumns(

@@ -383,3 +383,19 @@ def test_outliers_of_a_source_that_is_two_fifths_junk(spark):
     bad = [(1000 + i, "".join(w + "### " for w in prose(4000 + i).split()), "en", "hot") for i in range(240)]
     rows = {r["doc_id"]: r["kept"] for r in outliers.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(rows[i] for i, *_ in bad) and sum(rows[i] for i, *_ in good) >= 355
+
+
+def test_secrets_within_longer_runs(spark, docs):
+    model = secrets.train(docs)
+    path = "/".join(prose(70, 40).strip(".").split())
+    key, other = "zX9qWv7RkT2pLm8NbY4cHd6JfGs1", "Qw3Er5Ty7Ui9Op1As2Df4Gh6Jk8L"
+    texts = [f"see {path}/{key} end", f"é {path}/{key}/{path}/{other}/{path}", f"see {path} end", f"key {key} ends"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df, model).collect():
+        text, found = texts[r["doc_id"]], [(s["start"], s["end"]) for s in r["secrets"]]
+        keys = [k for k in (key, other) if k in text]
+        assert len(found) == len(keys)
+        for (start, end), k in zip(found, keys):
+            assert k in text[start:end] and end - start <= len(k) + 20
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, model).collect()}
+    assert all(key not in t and other not in t for t in clean.values()) and clean[2] == texts[2] and clean[3] == "key [SECRET] ends"
