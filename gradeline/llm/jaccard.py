@@ -8,7 +8,10 @@
    fewest shingles of its own: within groups of near copies it links most. Members are held against their group. What
    these links connect needs no more pairs. Then groups are expanded, and every pair of members of a list that lie in
    different components is verified, so no link between components is lost and no pairs within one are made.
-4. Pairs are verified on bitmaps of parities, which bound the difference from below, then on the sets themselves.
+4. Pairs are verified on bitmaps of parities, which bound the difference from below, then on the sets themselves. A
+   bitmap has at least four bits for each shingle in which linked sets may differ, so it tells at any size.
+
+Counts of buckets and the bits of a bitmap decide what is looked at first and how much is verified, never what links.
 
 A document without words or text has an empty set and links with nothing; with fewer words than a shingle the whole
 sequence is its shingle. The component of a document is the smallest id that it reaches. Null ids are kept, and are
@@ -18,6 +21,7 @@ nobody's smallest id. Repeated rows come back as often. An empty table gives an
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +36,8 @@ from .components import components
 
 #: Words of a shingle and the similarity of a link, in percent, where a caller names none: those of op7_grouped_prefix_join.
 WORDS, NEAR = 3, 90
-#: Hash buckets of shingles that are counted, in blocks of so many; bits of a bitmap.
-BUCKETS, BLOCK, BITS = 1 << 18, 1 << 10, 512
+#: Hash buckets of shingles that are counted, in blocks of so many; least bits of a bitmap.
+BUCKETS, BLOCK, BITS = 1 << 22, 1 << 16, 512
 #: Marks of a filter: which shingles, or ids, may be among those sought. Their number is fixed, so a filter that fills up
 #: lets more through to the joins behind it and costs time, not results.
 MARKS = 1 << 25
@@ -115,32 +119,55 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> _U(40)).astype(np.int64) & (BUCKETS - 1)
 
 
+def _bits(n: int, near: int) -> int:
+    """Bits of the bitmap of a set of n: a power of two, so that one of a size folds into one of half as many."""
+    return max(BITS, 1 << (8 * n * (100 - near) // (100 + near)).bit_length())
+
+
+def _bitmap(h: np.ndarray, near: int) -> np.ndarray:
+    bits = _bits(len(h), near)
+    odd = (np.bincount((h & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8")
+
+
 def _count(words: int):
+    """Counts of one task, where one byte tells them: from 255 on they are alike."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             sets = shingle_sets(batch.column(0).to_pylist(), words)
             if sets:
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
+                np.add.at(total, _bucket(np.concatenate(sets)), np.uint32(1))
         if total.any():
-            blocks = total.astype("<i8").reshape(-1, BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([r.tobytes() for r in blocks], pa.binary())], names=["block", "counts"])
+            blocks = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([zlib.compress(r, 1) for r in blocks], pa.binary())], names=["block", "counts"])
 
     return make
 
 
-def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, "<i8") for c in pdf["counts"])
-    return pd.DataFrame({"block": [key[0]], "counts": [total.astype("<i8").tobytes()]})
+def _summed(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of one block; a sum is kept to the places that an order needs."""
+    total = np.zeros(BLOCK, np.int64)
+    for pdf in parts:
+        for c in pdf["counts"]:
+            total += np.frombuffer(zlib.decompress(c), np.uint8)
+    yield pd.DataFrame({"block": [key[0]], "counts": [_rank(total).tobytes()]})
+
+
+def _rank(total: np.ndarray) -> np.ndarray:
+    """A count as one byte that keeps the order: small ones as they are, larger ones by eighths of a power of two."""
+    exponent = np.maximum(np.floor(np.log2(np.maximum(total, 1))).astype(np.int64) - 3, 0)
+    return np.minimum(exponent * 8 + (total >> exponent), 255).astype(np.uint8)
 
 
 def _bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of all documents in each hash bucket: BUCKETS numbers, however large the input."""
+    """Ranks of the hash buckets by their shingles in all documents: BUCKETS bytes, however large the input."""
     parts = docs.select("text").mapInArrow(_count(words), "block int, counts binary")
     rows = parts.groupBy("block").applyInPandas(_summed, "block int, counts binary").collect()
-    counts = np.zeros(BUCKETS, np.int64)
+    counts = np.zeros(BUCKETS, np.uint8)
     for r in rows:
-        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i8")
+        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint8)
     return counts
 
 
@@ -158,8 +185,7 @@ def _prefixed(counts: np.ndarray, words: int, near: int):
                 digest.append(hashlib.md5(h.tobytes()).digest())
                 group.append(hashlib.md5(len(h).to_bytes(8, "little") + own.tobytes()).digest())
                 prefix.append(own)
-                odd = (np.bincount((h & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-                bitmap.append(np.packbits(odd).view("<i8"))
+                bitmap.append(_bitmap(h, near))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(group, pa.binary()), pa.array(prefix, longs), pa.array(bitmap, longs)], names=["doc_id", "n", "digest", "grp", "prefix", "bitmap"])
 
@@ -181,12 +207,17 @@ def _marked(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _sets_of(marks: np.ndarray, words: int):
+def _sets_of(left: np.ndarray, right: np.ndarray, words: int):
+    """The sets of ids that may stand on the left or the right of a pair, and on which side."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_marked(marks, batch.column(0).to_numpy())))
+            ids = batch.column(0).to_numpy()
+            is_u, is_v = _marked(left, ids), _marked(right, ids)
+            any_side = is_u | is_v
+            batch = batch.filter(pa.array(any_side))
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(is_u[any_side]), pa.array(is_v[any_side])], names=["rep", "s", "is_u", "is_v"])
 
     return make
 
@@ -217,18 +248,25 @@ def _plausible(a: str, b: str, near: int) -> str:
     return f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {near} AND least({a}.n - {a}.p, {b}.n - {b}.p) >= {_overlap(f'{a}.n', f'{b}.n', near)}"
 
 
+def _folded(a: str, b: str) -> str:
+    """SQL of bitmap a, folded to the size of b where it is twice as large; more can't pass the size filter."""
+    return f"IF(size({a}) > size({b}), zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (x, y) -> x ^ y), {a})"
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, near: int) -> DataFrame:
-    """The pairs (u, v) of representatives that link. Sets and bitmaps are merged in by key at any size: both sides grow."""
+    """The pairs (u, v) of representatives that link. Sets and bitmaps are merged in by key at any size: both sides grow.
+
+    Each set goes once to the side on which its id stands; only those of v are copied for each of their pairs.
+    """
     left, right = (sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"b{c}")) for c in ("u", "v"))
-    differ = "aggregate(zip_with(bu, bv, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    differ = f"aggregate(zip_with({_folded('bu', 'bv')}, {_folded('bv', 'bu')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     close = pairs.distinct().join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(f"{differ} <= nu + nv - 2 * {_overlap('nu', 'nv', near)}").select("u", "v", "nu", "nv")
     close = written(close, "close-pairs")
-    wanted = close.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    marks = _marks(wanted, "doc_id")
-    found = written(docs.where("doc_id IS NOT NULL").mapInArrow(_sets_of(marks, words), "rep long, s array<long>"), "verify-sets")
-    a, b = (found.select(F.col("rep").alias(c), F.col("s").alias(f"s{c}")) for c in ("u", "v"))
+    sides = _sets_of(_marks(close, "u"), _marks(close, "v"), words)
+    found = written(docs.where("doc_id IS NOT NULL").mapInArrow(sides, "rep long, s array<long>, is_u boolean, is_v boolean"), "verify-sets")
+    a, b = (found.where(f"is_{c}").select(F.col("rep").alias(c), F.col("s").alias(f"s{c}")) for c in ("u", "v"))
     both = F.size(F.array_intersect("su", "sv"))
-    links = close.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where((near + 100) * both >= near * (F.col("nu") + F.col("nv"))).select("u", "v")
+    links = close.join(b.hint("merge"), "v").join(a.hint("merge"), "u").where((near + 100) * both >= near * (F.col("nu") + F.col("nv"))).select("u", "v")
     links = written(links, "links")
     discard(close, found)
     return links
@@ -245,16 +283,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(every.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("rep")), "classes")
     groups = written(classes.groupBy("grp").agg(F.min("rep").alias("gid"), F.count("*").alias("members")), "groups")
     members = written(classes.join(groups, "grp").select("rep", "gid", "members"), "members")
-    firsts = every.join(members.select(F.col("rep").alias("doc_id"), "gid", "members"), "doc_id")
-    sets = written(firsts.select(F.col("doc_id").alias("rep"), "n", "bitmap"), "sets")
-    heads = written(firsts.where("doc_id = gid").select("gid", "n", "members", "prefix"), "group-prefixes")
+    firsts = every.select(F.col("doc_id").alias("rep"), "n", "bitmap", "prefix").join(members, "rep")
+    firsts = written(firsts.withColumn("prefix", F.when(F.col("rep") == F.col("gid"), F.col("prefix"))), "representatives")
+    sets, heads = firsts.select("rep", "n", "bitmap"), firsts.where("rep = gid").select("gid", "n", "members", "prefix")
 
     # lists under prefix shingles that more than one document has
     entries = heads.select(F.posexplode("prefix").alias("p", "token"), "gid", "n", "members")
     shared = written(entries.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token"), "lists")
     likely = heads.select("gid", "n", "prefix").mapInArrow(_entries(_marks(shared, "token")), "token long, p int, gid long, n long")
     lists = written(likely.join(shared, "token", "left_semi"), "entries")
-    discard(shared, heads)
+    discard(shared)
 
     pivots = lists.groupBy("token").agg(F.min(F.struct("p", "gid", "n")).alias("x")).select("token", "x.p", "x.gid", "x.n").alias("a")
     first = lists.alias("b").join(pivots, F.expr(f"a.token = b.token AND a.gid <> b.gid AND {_plausible('a', 'b', near)}")).selectExpr("least(a.gid, b.gid) AS u", "greatest(a.gid, b.gid) AS v")
