@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches, written
-from .tokenize import encoder, with_end
+from .tokenize import encoder
 
 #: Open windows of a partition.
 OPEN = 64
@@ -134,13 +134,13 @@ def _pack_partition(tokenizer: str, end: int, size: int):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        packer, encode = Packer(size, part << 32), encoder(tokenizer).encode
+        packer, encode = Packer(size, part << 32), encoder(tokenizer).encode_column
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            ids, counts = with_end(*encode(batch.column(1).to_pylist()), end)
+            ids, counts = encode(batch.column(1), end)
             at = np.concatenate([[0], np.cumsum(counts)]).tolist()
             for doc, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
                 packer.add(doc, ids[a:b])

@@ -1,15 +1,18 @@
 """Token-ID output: flat unsigned integer files with 64-bit document offsets, memory-mapped.
 
-A table becomes shards in ascending order of the document id. Shard k is three files in one folder:
+A table becomes shards in ascending order of the document id. A shard is three files of one name in one folder:
 
-- ``k.ids``: the token ids of its documents end to end, little-endian, 16 bits where the vocabulary allows, else 32;
-- ``k.off``: little-endian unsigned 64-bit offsets into ``k.ids`` in tokens, one more than there are documents;
-- ``k.doc``: little-endian signed 64-bit document ids.
+- ``.ids``: the token ids of its documents end to end, little-endian, 16 bits where the vocabulary allows, else 32;
+- ``.off``: little-endian unsigned 64-bit offsets into ``.ids`` in tokens, one more than there are documents;
+- ``.doc``: little-endian signed 64-bit document ids.
 
-The base of a shard is the sum of the tokens of the shards before it, so no file is rewritten once its task ends.
+The base of a shard is the sum of the tokens of the shards before it, so no file is rewritten once its task ends. Each
+attempt of a task writes under a name of its own and returns it, so files of different attempts never mix; those of
+attempts that didn't count are removed at the end.
 
 Nulls: a null text is an empty one and gets the end id only; a null document id sorts first and is stored as the
-smallest 64-bit number. Repeated ids are kept, each with its own tokens. An empty table gives no shards. Columns beside
+smallest 64-bit number. Repeated ids are kept, each with its own tokens, ordered by hash and text, and may go to more
+than one shard. An empty table gives no shards. Columns beside
 the id and the text aren't read.
 """
 
@@ -29,35 +32,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fresh_path, local_path, small_batches
-from .tokenize import encoder, with_end
+from .tokenize import encoder
 
 NULL_ID = -(2**63)
-SHARD = "shard int, n_docs long, n_tokens long"
+SHARD = "shard int, name string, n_docs long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _write_shard(folder: str, tokenizer: str, end: int, kind: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One shard per task. Files appear under their names only when whole, so a task may be run again."""
-        shard, mine = TaskContext.get().partitionId(), uuid.uuid4().hex
-        encode, docs, counts = encoder(tokenizer).encode, [], []
+        """One shard per task."""
+        shard = TaskContext.get().partitionId()
+        encode, docs, counts = encoder(tokenizer).encode_column, [], []
+        name = f"{shard:07d}-{uuid.uuid4().hex}"
         os.makedirs(folder, exist_ok=True)
-        name = f"{folder}/{shard:07d}"
-        with open(f"{name}.ids.{mine}", "wb") as out:
+        with open(f"{folder}/{name}.ids", "wb") as out:
             for batch in batches:
-                ids, n = with_end(*encode(batch.column(1).to_pylist()), end)
+                ids, n = encode(batch.column(1), end)
                 out.write(ids.astype(kind).tobytes())
                 docs.append(batch.column(0).fill_null(NULL_ID).to_numpy())
                 counts.append(n)
         if not docs or not sum(map(len, docs)):
-            os.remove(f"{name}.ids.{mine}")
+            os.remove(f"{folder}/{name}.ids")
             return
         n = np.concatenate(counts)
-        np.concatenate(docs).astype("<i8").tofile(f"{name}.doc.{mine}")
-        np.concatenate([[0], np.cumsum(n)]).astype("<u8").tofile(f"{name}.off.{mine}")
-        for part in ("doc", "off", "ids"):
-            os.replace(f"{name}.{part}.{mine}", f"{name}.{part}")
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["shard", "n_docs", "n_tokens"])
+        np.concatenate(docs).astype("<i8").tofile(f"{folder}/{name}.doc")
+        np.concatenate([[0], np.cumsum(n)]).astype("<u8").tofile(f"{folder}/{name}.off")
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["shard", "name", "n_docs", "n_tokens"])
 
     return write
 
@@ -69,11 +70,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, vo
     """
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     small_batches(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ordered = own.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     rows = sorted(ordered.mapInArrow(_write_shard(folder, tokenizer, end, kind), SHARD).collect())
     bases = accumulate([0, *(r.n_tokens for r in rows)])
-    shards = [{"shard": r.shard, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "base": b, "dtype": kind} for r, b in zip(rows, bases)]
+    shards = [{"shard": r.name, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "base": b, "dtype": kind} for r, b in zip(rows, bases)]
     os.makedirs(folder, exist_ok=True)
+    for file in set(os.listdir(folder)) - {f"{r.name}.{part}" for r in rows for part in ("ids", "off", "doc")}:
+        os.remove(f"{folder}/{file}")
     with open(f"{folder}/shards.json", "w") as f:
         json.dump(shards, f)
     return shards
@@ -82,8 +86,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, vo
 class Shard:
     """A shard, memory-mapped. Document i has the ids self[i]."""
 
-    def __init__(self, folder: str, shard: int, dtype: str) -> None:
-        name = f"{folder}/{shard:07d}"
+    def __init__(self, folder: str, shard: str, dtype: str) -> None:
+        name = f"{folder}/{shard}"
         self.ids = np.memmap(f"{name}.ids", dtype, "r")
         self.offsets = np.memmap(f"{name}.off", "<u8", "r")
         self.docs = np.memmap(f"{name}.doc", "<i8", "r")
@@ -112,7 +116,7 @@ def _read_shards(folder: str):
 
 def read_token_files(spark: SparkSession, folder: str, shards: list[dict]) -> DataFrame:
     """A row per document of the files: its first token's place in the whole, its tokens, and their CRC-32 as 32-bit ids."""
-    rows = spark.createDataFrame([(s["shard"], s["base"], s["dtype"]) for s in shards], "shard int, base long, dtype string")
+    rows = spark.createDataFrame([(s["shard"], s["base"], s["dtype"]) for s in shards], "shard string, base long, dtype string")
     return rows.repartition(max(1, len(shards))).mapInArrow(_read_shards(folder), READ)
 
 
