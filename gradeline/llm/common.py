@@ -55,7 +55,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def _remove(path: str) -> None:
-    if path.startswith("file:"):
+    """Deletes a path on whatever file system it is, if the session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    elif path.startswith("file:"):
         shutil.rmtree(local_path(path), ignore_errors=True)
 
 
@@ -67,10 +72,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors and is read by column."""
+def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors and is read by column.
+
+    parts are columns by whose values the files are kept apart.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path) if parts else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
