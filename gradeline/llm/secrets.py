@@ -6,9 +6,10 @@ likelihood ratio. If it doesn't as a whole, each stretch of it that does is one,
 words, so what surrounds a key can't outweigh it. Everything runs as DataFrame functions in the JVM; the model is one array of CLASSES squared numbers.
 
 Places are in code points, ends exclusive. They come from the gaps between matches: match i starts where the gaps before
-it and the matches before it end. Whole texts are scanned. A null text is an empty one and has no secrets. Rows are kept
-as they come; columns named like the results are replaced; an empty table gives an empty result and, where nothing can
-be learned, the ordinary model is uniform.
+it and the matches before it end. Such running sums go by blocks, and redaction cuts a text into chunks once, so the
+work grows with a text and its matches, not with their product. Whole texts are scanned. A null text is an empty one and
+has no secrets. Rows and columns are kept as they come, but a column named secrets is replaced by the result; an empty
+table gives an empty result and, where nothing can be learned, the ordinary model is uniform.
 """
 
 from __future__ import annotations
@@ -37,8 +38,22 @@ CLASSES = len(ALPHABET) + 1
 RATIO, RATIO_EACH = 20.0, 0.5
 #: Pairs that a class's row of a model is shrunk by.
 SHRINK = 20.0
+#: Elements of a block of running sums, and code points of a chunk of a text that is redacted.
+BLOCK, CHUNK = 256, 1024
 #: Bounds of the labelled samples: documents that words are taken from, and random strings of each form.
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 1000
+#: Words of identifiers, labelled as ordinary beside the sample: a corpus of prose needn't hold any.
+IDENTIFIERS = (
+    "abstract access account action active adapter add address after agent alias all allow append apply argument array assert async atomic attribute auth "
+    "average background backup base batch before begin bind block body boolean boundary branch bridge broker browser buffer build bundle button byte cache "
+    "calculate callback cancel capacity category change channel character check child class clean client clock clone close cluster code collection column "
+    "command comment commit common compare complete component compress config connect constant construct container content context control convert copy "
+    "count create current cursor custom data date debug decode default delegate delete depth describe detail device dialog directory disable display "
+    "document domain download driver dynamic edge editor element enable encode engine entity entry enum environment error event exception execute exist "
+    "export expression extension factory failure feature fetch field file filter final flag folder format frame function gateway generate global graph "
+    "group handler hash header height helper hidden history host identity image implementation import index info init input insert instance integer "
+    "interface internal invalid invoke item iterator job join json kernel key label language layer layout length level library limit line link list"
+)
 
 
 def _class(c: Column) -> Column:
@@ -63,8 +78,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
 
     Random: digests written in base 64, with and without its signs, and as key-like capitals, and the values that the
     base patterns find in the sample, but those in base 16, which have a pattern. Ordinary: all other words of the sample that are
-    too short to be judged, and neighbouring ones joined as identifiers are. The sample is
-    at most SAMPLE_DOCS documents in expectation, by a hash of the id.
+    too short to be judged, and neighbouring ones joined as identifiers are: by signs, in camel case, or not; and, with
+    equal weight, IDENTIFIERS joined alike. The sample is at most SAMPLE_DOCS documents in expectation, by a hash of the id.
     """
     spark = docs.sparkSession
     n = docs.count()
@@ -76,11 +91,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     made = spark.range(SAMPLE_STRINGS).select(F.explode(F.array(F.substring(F.base64(F.unhex(digest)), 1, 40), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""))).alias("s"))
     clear = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = F.filter(F.regexp_extract_all(clear, F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0)), lambda w: F.length(w) < 20)
-    joined = F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> concat(a, element_at(array('_', '-', '/', ''), cast(pmod(hash(a), 4) as int) + 1), b))")
+    styles = "element_at(array(concat(a, '_', b), concat(a, '-', b), concat(a, '/', b), concat(a, b), concat(a, initcap(b)), concat(initcap(a), initcap(b))), cast(pmod(hash(a, b), 6) as int) + 1)"
+    joined = F.expr(f"zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> {styles})")
     ordinary = sample.select(words.alias("w")).select(F.explode(F.concat(F.col("w"), joined)).alias("s"))
-    random, plain = _counts(found.unionByName(made)), _counts(ordinary)
-    random, plain = _probabilities(random), _probabilities(plain)
-    return [round(log(random[i]) - log(plain[i]), 6) for i in range(CLASSES * CLASSES)]
+    code = spark.range(24).select("id", F.split(F.lit(IDENTIFIERS), " ").alias("w")).select(F.explode(F.expr(f"zip_with(w, transform(w, (x, i) -> w[pmod(i * (2 * id + 3) + id, size(w))]), (a, b) -> {styles})")).alias("s"))
+    random, plain, named = (_probabilities(_counts(s)) for s in (found.unionByName(made), ordinary, code))
+    return [round(log(random[i]) - log((plain[i] + named[i]) / 2), 6) for i in range(CLASSES * CLASSES)]
 
 
 def _probabilities(counts: dict[tuple[int, int], int]) -> list[float]:
@@ -94,25 +110,64 @@ def _probabilities(counts: dict[tuple[int, int], int]) -> list[float]:
     return out
 
 
-def _spans(no: int, pattern: str, ok: str = "true", group: int | None = None) -> Column:
-    """The spans (start, kind, end) of a pattern's matches m in t, with v their group, for which ok holds."""
-    matches = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all("t", F.lit(pattern), F.lit(group)) if group else matches
-    parts = F.arrays_zip(F.split("t", pattern, -1).alias("g"), matches.alias("m"), values.alias("v"))
-    none = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
+def _private(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of docs has."""
+    taken, mark = {c.lower() for c in docs.columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, most: bool = False) -> Column:
+    """For each of an array of numbers from 0 on the sum (or the most) of those before it, by blocks of BLOCK."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.greatest(a, b) if most else a + b
+
+    def run(block: Column, base: Column) -> Column:
+        step = lambda acc, x: F.struct(joined(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(block, F.struct(base.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.expr("0") + F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+        totals = lambda b: F.transform(b, lambda x: F.aggregate(x, F.lit(0), joined))
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, run(totals(b), F.lit(0)), run)))
+
+    return F.when(F.size(values) > 0, _let(values, whole)).otherwise(none)
+
+
+def _matches(text: str, pattern: str, group: int | None = None) -> Column:
+    """The gaps g before a pattern's matches m in a text, with v their group; the last gap has no match. Null without one."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    return F.when(F.col(text).rlike(pattern), F.arrays_zip(F.split(text, pattern, -1).alias("g"), matches.alias("m"), values.alias("v")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        here = F.array(F.struct(start.alias("start"), F.lit(no).alias("kind"), end.alias("end")))
-        found = F.when(x["m"].isNotNull() & _holds(ok, x["v"]), F.concat(acc["found"], here))
-        if isinstance(ok, list):
-            part = F.transform(_stretches(ok, x["v"]), lambda p: F.struct((start + p["a"]).alias("start"), F.lit(no).alias("kind"), (start + p["b"]).alias("end")))
-            found = found.when(x["m"].isNotNull(), F.concat(acc["found"], part))
-        return F.struct(end.alias("at"), found.otherwise(acc["found"]).alias("found"))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr(none).alias("found")), step)["found"]
-    return F.when(F.col("t").rlike(pattern), walked).otherwise(F.expr(none))
+def _spans(no: int, matches: str, ok: str | list[float]) -> Column:
+    """The spans (start, kind, end) of matches for which ok holds, or of the stretches that a model finds in them."""
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    sizes = F.transform(matches, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(no).alias("kind"), end.alias("end"))
+
+    def whole(x: Column) -> Column:
+        return span(x["at"], x["at"] + F.length(x["m"]))
+
+    placed = F.zip_with(matches, _before(sizes), lambda x, at: F.struct((at + F.length(x["g"])).alias("at"), x["m"].alias("m"), x["v"].alias("v")))
+    if isinstance(ok, list):
+        stretches = lambda x: F.transform(_stretches(ok, x["v"]), lambda p: span(x["at"] + p["a"], x["at"] + p["b"]))
+        each = F.transform(F.filter(placed, lambda x: x["m"].isNotNull()), lambda x: F.when(_holds(ok, x["v"]), F.array(whole(x))).otherwise(stretches(x)))
+        found = F.flatten(each)
+    else:
+        found = F.transform(F.filter(placed, lambda x: x["m"].isNotNull() & _holds(ok, x["v"])), whole)
+    return F.coalesce(found, none)
 
 
 def _holds(ok: str | list[float], value: Column) -> Column:
@@ -159,27 +214,48 @@ def _stretches(model: list[float], value: Column) -> Column:
     return F.array_distinct(F.filter(wide, lambda p: p["b"] - p["a"] >= LEAST))
 
 
+def _apart(base: str, more: str) -> Column:
+    """The spans of more that overlap none of base.
+
+    All stand in one row, base spans by their start and the others by their end, before a base span there. Of base spans
+    that stand before one of more, the furthest end tells whether any reaches into it.
+    """
+    events = F.array_sort(F.concat(F.transform(more, lambda s: F.struct(s["end"].alias("place"), F.lit(0).alias("of"), s.alias("s"))), F.transform(base, lambda s: F.struct(s["start"].alias("place"), F.lit(1).alias("of"), s.alias("s")))))
+
+    def free(row: Column) -> Column:
+        reach = _before(F.transform(row, lambda e: F.when(e["of"] == 1, e["s"]["end"]).otherwise(F.lit(0))), most=True)
+        clear = F.filter(F.zip_with(row, reach, lambda e, r: F.struct(e["s"].alias("s"), ((e["of"] == 0) & (r <= e["s"]["start"])).alias("ok"))), lambda e: e["ok"])
+        return F.transform(clear, lambda e: e["s"])
+
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), _let(events, free)).otherwise(F.col(more))
+
+
 def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
     """docs with secrets: all spans (start, kind, end), by start and then kind. Kinds count as in KINDS."""
-    found = docs.withColumn("t", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumns(
-        {"base": F.concat(_spans(0, ASSIGN, "long", 2), _spans(1, ACCESS), _spans(2, HEX)), "more": _spans(3, RUN, model)}
-    )
-    apart = F.filter("more", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return found.withColumn("secrets", F.array_sort(F.concat("base", apart))).drop("t", "base", "more")
+    text, base, more, *found = _private(docs, "text", "base", "more", "assign", "access", "hex", "run")
+    out = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    out = out.withColumns(dict(zip(found, (_matches(text, ASSIGN, 2), _matches(text, ACCESS), _matches(text, HEX), _matches(text, RUN)))))
+    out = out.withColumns({base: F.concat(_spans(0, found[0], "long"), _spans(1, found[1], "true"), _spans(2, found[2], "true")), more: _spans(3, found[3], model)})
+    return out.withColumn("secrets", F.array_sort(F.concat(base, _apart(base, more)))).drop(text, base, more, *found)
 
 
 def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in the text replaced by a mark, overlapping ones by one."""
-    found = scan(docs, model, text_col)
-    text = F.col(text_col).cast("string")
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept).alias("out"))
-
-    cut = F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, cut).otherwise(text)).drop("secrets")
+    chunks, = _private(docs, "chunks")
+    found = scan(docs, model, text_col).withColumn(text_col, F.col(text_col).cast("string"))
+    found = found.withColumn(chunks, F.when(F.size("secrets") > 0, F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+
+    def piece(a: Column, b: Column) -> Column:
+        """The text from a to b, which lies in one chunk or reaches from one to another."""
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        head = lambda n: F.substring(F.coalesce(F.get(chunks, i), F.lit("")), a % CHUNK + 1, n)
+        tail = F.substring(F.coalesce(F.get(chunks, j), F.lit("")), F.lit(1), b % CHUNK)
+        return F.when(i == j, head(b - a)).otherwise(F.concat(head(F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, j - i - 1), ""), tail))
+
+    ends = F.transform("secrets", lambda s: s["end"])
+    fresh = F.filter(F.zip_with("secrets", _before(ends, most=True), lambda s, at: F.struct(at.alias("a"), s["start"].alias("b"))), lambda x: x["b"] >= x["a"])
+    cut = F.concat(F.array_join(F.transform(fresh, lambda x: F.concat(piece(x["a"], x["b"]), F.lit(mark))), ""), piece(F.array_max(ends), F.length(text_col)))
+    return found.withColumn(text_col, F.when(F.size("secrets") > 0, cut).otherwise(F.col(text_col))).drop("secrets", chunks)
 
 
 def _written(spans: Column) -> Column:
