@@ -49,6 +49,7 @@ class MatchConfig:
     top: int = 10
     reversible: bool = True
     activity_type: str = "running"
+    exact_roads: bool = False
 
     def __post_init__(self) -> None:
         if not 0 < self.min_window_frac <= self.max_window_frac:

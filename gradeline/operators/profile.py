@@ -53,15 +53,22 @@ def stretches(points: DataFrame, *values: str) -> DataFrame:
 
 
 def interpolate(samples: DataFrame, points: DataFrame, *values: str) -> DataFrame:
-    """samples (profile_id, x, ...) with each value of points at x: an equi-join on the profile with the stretch as residual."""
-    s = stretches(points, *values).withColumnRenamed("profile_id", "of_profile")
-    joined = samples.join(s, F.expr("profile_id = of_profile AND x >= x0 AND x < x1"))
+    """samples (profile_id, x, ...) with each value of points at x.
+
+    Samples and stretches stand in one order along the profile, and each sample takes the last stretch that began: one
+    sort and one running window, however many knots and samples a profile has. Samples of unknown profiles go.
+    """
+    ends = ["x0", "x1", *(f"{v}{i}" for v in values for i in (0, 1))]
+    knots = stretches(points, *values).select("profile_id", F.col("x0").alias("x"), F.struct(*ends).alias("_stretch"))
+    both = knots.unionByName(samples.withColumn("_sample", F.lit(1)), allowMissingColumns=True)
+    so_far = W.partitionBy("profile_id").orderBy("x", F.col("_sample").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("_stretch", F.last("_stretch", ignorenulls=True).over(so_far)).where("_sample = 1 AND _stretch IS NOT NULL").select(*samples.columns, "_stretch.*")
 
     def at(v: str) -> Column:
         inside = F.col(f"{v}0") + (F.col(f"{v}1") - F.col(f"{v}0")) * ((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")))
         return F.when(F.col(f"{v}1").isNull() | F.isnan(inside) | (F.col("x0") == float("-inf")), F.col(f"{v}0")).otherwise(inside).alias(v)
 
-    return joined.select(*samples.columns, *map(at, values))
+    return found.select(*samples.columns, *map(at, values))
 
 
 def bins(points: DataFrame, bin_m: float) -> DataFrame:

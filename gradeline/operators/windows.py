@@ -94,11 +94,9 @@ def windows(total: float, target_m: float, c: MatchConfig) -> Iterator[tuple[int
             yield li, length, np.arange(n) * step
 
 
-def scored(dist: np.ndarray, ele: np.ndarray, t: Target, c: MatchConfig) -> Iterator[dict[str, np.ndarray]]:
-    """Features and scores of the windows of a track, a batch of one length at a time; direction is the last axis."""
-    target = np.asarray(t.grades)
-    wanted = quantiles(np.sort(target)[None], c.emd_points)
-    samples = max(4 * len(target), 100)
+def sampled(dist: np.ndarray, ele: np.ndarray, t: Target, c: MatchConfig) -> Iterator[dict[str, np.ndarray]]:
+    """Vertical travel and grades of the windows of a track, a batch of one length at a time."""
+    samples = max(4 * len(t.grades), 100)
     for li, length, all_starts in windows(float(dist[-1]), t.length_m, c):
         n = bin_count(length, c.bin_m)
         k, f = _cell(np.arange(n + 1) * (samples - 1) / n, samples - 1)
@@ -108,16 +106,38 @@ def scored(dist: np.ndarray, ele: np.ndarray, t: Target, c: MatchConfig) -> Iter
             x[:, -1] = starts + length
             e = np.interp(x.ravel(), dist, ele).reshape(x.shape)
             edges = e[:, k] + f * (e[:, k + 1] - e[:, k])
-            forward = np.diff(edges, axis=1) / (length / n) * 100
             diff = np.diff(e, axis=1)
-            gain, loss = np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)
-            vert = np.maximum(gain, loss)
-            dev = np.abs(vert - t.vert_m) / t.vert_m if t.vert_m > 0 else np.zeros_like(vert)
-            ways = [forward, -forward[:, ::-1]] if c.reversible else [forward]
-            shape = np.stack([warp(target, g) for g in ways], 1)
-            spread = np.stack([np.abs(quantiles(np.sort(g, 1), c.emd_points) - wanted).mean(1) for g in ways], 1)
-            score = c.weight_shape * shape + c.weight_distribution * spread + c.weight_gain * dev[:, None]
-            yield {"li": li, "si": np.arange(at, at + len(starts)), "start": starts, "length": length, "gain": gain, "loss": loss, "dev": dev, "shape": shape, "dist": spread, "score": score, "grades": forward}
+            yield {"li": li, "si": np.arange(at, at + len(starts)), "start": starts, "length": length, "gain": np.maximum(diff, 0).sum(1), "loss": np.maximum(-diff, 0).sum(1), "grades": np.diff(edges, axis=1) / (length / n) * 100}
+
+
+def scored(dist: np.ndarray, ele: np.ndarray, t: Target, c: MatchConfig) -> Iterator[dict[str, np.ndarray]]:
+    """The same with scores; direction is the last axis."""
+    target = np.asarray(t.grades)
+    wanted = quantiles(np.sort(target)[None], c.emd_points)
+    for w in sampled(dist, ele, t, c):
+        forward, vert = w["grades"], np.maximum(w["gain"], w["loss"])
+        dev = np.abs(vert - t.vert_m) / t.vert_m if t.vert_m > 0 else np.zeros_like(vert)
+        ways = [forward, -forward[:, ::-1]] if c.reversible else [forward]
+        shape = np.stack([warp(target, g) for g in ways], 1)
+        spread = np.stack([np.abs(quantiles(np.sort(g, 1), c.emd_points) - wanted).mean(1) for g in ways], 1)
+        score = c.weight_shape * shape + c.weight_distribution * spread + c.weight_gain * dev[:, None]
+        yield w | {"dev": dev, "shape": shape, "dist": spread, "score": score}
+
+
+def warp_to(rows: DataFrame, target: list[float], key: str = "profile_id", col: str = "g") -> DataFrame:
+    """key and dtw: the warping of each row's sequence with the target, all sequences of a length at once; null for an empty one."""
+    wanted = np.asarray(target, float)
+
+    def warped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = pd.Series(np.nan, pdf.index, dtype=float)
+            sizes = pdf[col].map(len, na_action="ignore")
+            for n, own in pdf[col].groupby(sizes):
+                if n > 0:
+                    out[own.index] = warp(wanted, np.stack(own.to_list()))
+            yield pd.DataFrame({key: pdf[key], "dtw": out.astype(object).where(out.notna(), None)})
+
+    return rows.select(key, col).mapInPandas(warped, f"{key} {rows.schema[key].dataType.simpleString()}, dtw double")
 
 
 BEST = (
@@ -177,6 +197,15 @@ def enumerate_windows(lengths: DataFrame, t: Target, c: MatchConfig) -> DataFram
     return each.select("profile_id", "li", "win_len", F.explode(F.sequence(F.lit(0), n - 1)).alias("si")).select("profile_id", "li", "si", (F.col("si") * F.lit(step)).alias("start_m"), "win_len")
 
 
+#: Rows of features that are handed on at a time.
+FLUSH = 100_000
+
+
+def _frame(held: list[tuple]) -> pd.DataFrame:
+    names = ["segment_id", "li", "si", "gain_m", "loss_m", "first_grade", "last_grade"]
+    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*held))})
+
+
 FEATURES = "li int, si int, gain_m double, loss_m double, first_grade double, last_grade double"
 
 
@@ -185,10 +214,17 @@ def window_features(streams: DataFrame, t: Target, c: MatchConfig) -> DataFrame:
     source = usable(streams, t, c).select("segment_id", "dist", "ele")
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for pdf in parts:
             for s, d, e in pdf.itertuples(index=False):
-                for b in scored(np.asarray(d, float), np.asarray(e, float), t, c):
-                    g = b["grades"]
-                    yield pd.DataFrame({"segment_id": s, "li": np.int32(b["li"]), "si": b["si"].astype(np.int32), "gain_m": b["gain"], "loss_m": b["loss"], "first_grade": g[:, 0], "last_grade": g[:, -1]})
+                for b in sampled(np.asarray(d, float), np.asarray(e, float), t, c):
+                    g, n = b["grades"], len(b["si"])
+                    held.append(([s] * n, np.full(n, b["li"], np.int32), b["si"].astype(np.int32), b["gain"], b["loss"], g[:, 0], g[:, -1]))
+                    rows += n
+                if rows >= FLUSH:
+                    yield _frame(held)
+                    held, rows = [], 0
+        if held:
+            yield _frame(held)
 
     return source.mapInPandas(features, f"segment_id {source.schema['segment_id'].dataType.simpleString()}, {FEATURES}")

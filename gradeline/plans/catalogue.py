@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import MILE_M, MatchConfig
 from ..functions import sequences
+from ..functions import sql as sql_functions
 from ..functions.geo import access_penalty, access_text
 from ..functions.text import base_filename, parse_segment_id, slugify, tile_cache_key
 from ..operators import bands, profile, spatial, windows
@@ -94,7 +95,9 @@ def _pairs(spark, sf):
 
 
 def dtw_pairwise(spark, sf):
-    return _pairs(spark, sf).select("profile_id", _r(sequences.dtw(F.col("t"), F.col("g"))).alias("dtw"))
+    rows = _pairs(spark, sf)
+    target = rows.where("profile_id = 0").first()["g"]
+    return windows.warp_to(rows, target).select("profile_id", _r("dtw").alias("dtw"))
 
 
 def emd_pairwise(spark, sf):
@@ -157,9 +160,28 @@ def nearest_road(spark, sf):
     return spatial.nearest_road(_starts(spark, sf), table(spark, sf, "roads")).select(F.col("key").alias("id"), _r("road_m").alias("road_m"))
 
 
+def _far_starts(spark, sf):
+    """Starts all over the globe: near the poles, on both sides of the 180th meridian, and on the far side from the roads."""
+    return table(spark, sf, "far_starts").select(F.col("id").alias("key"), F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"))
+
+
 def nearest_road_exact(spark, sf):
-    found = spatial.nearest_road_any(_starts(spark, sf), table(spark, sf, "roads"))
-    return found.select(F.col("key").alias("id"), F.when(F.col("road_m").isNull(), "unchecked").otherwise("found").alias("status"), F.bround("road_m", 0).alias("dist_m"))
+    return search.exact_road(_starts(spark, sf), table(spark, sf, "roads")).withColumnRenamed("key", "id")
+
+
+def nearest_road_globe(spark, sf):
+    return spatial.nearest_road_any(_far_starts(spark, sf), table(spark, sf, "far_roads")).select(F.col("key").alias("id"), _r("road_m", 3).alias("road_m"))
+
+
+def access_sources(spark, sf):
+    """The readings and penalties of both sources."""
+    starts, roads = _starts(spark, sf), table(spark, sf, "roads")
+
+    def readings(found, name):
+        penalty = access_penalty(F.col("status"), F.col("dist_m"), C.access_near_m, C.access_far_m)
+        return found.select(F.col("key").alias("id"), F.col("status").alias(f"{name}_status"), F.col("dist_m").alias(f"{name}_m"), _r(penalty).alias(f"{name}_penalty"))
+
+    return readings(search.exact_road(starts, roads), "exact").join(readings(spatial.road_tiers(starts, roads), "tier"), "id")
 
 
 def road_tier_probe(spark, sf):
@@ -183,7 +205,36 @@ def topk_matches(spark, sf):
 
 
 def ranked_report(spark, sf):
-    return search.report(matches(spark, sf))
+    return search.report(matches(spark, sf), _target(spark, sf).vert_m)
+
+
+def report_header(spark, sf):
+    return search.report_header(matches(spark, sf))
+
+
+def search_totals(spark, sf):
+    return search.totals(spark, table(spark, sf, "segments"), _streams(spark, sf), _target(spark, sf), C)
+
+
+def segment_metadata(spark, sf):
+    return search.metadata(parse_ids(spark, sf), table(spark, sf, "segments")).select("ref_id", "segment_id", "name", "known")
+
+
+def sql_functions_on_roads(spark, sf):
+    """The registered functions, called from SQL."""
+    sql_functions.register(spark)
+    return spark.sql(
+        "SELECT road_id, round(haversine_m(40.0D, -105.3D, lat, lon), 4) + 0D AS dist_m, round(km_to_deg_lon(1D, lat), 9) + 0D AS degrees, round(km_to_deg_lat(1D), 9) + 0D AS degrees_lat,"
+        " parse_segment_id(concat('x/segments/', cast(road_id AS STRING))) AS again, slugify(concat('Road #', cast(road_id AS STRING), ' / é')) AS slug FROM {roads}",
+        roads=table(spark, sf, "roads"),
+    )
+
+
+def sql_tile_grid(spark, sf):
+    """The tile grid as a table function."""
+    sql_functions.register(spark)
+    found = spark.sql(f"SELECT * FROM tile_grid({C.lat}D, {C.lon}D, {C.radius_km}D, {C.box_km}D)")
+    return _rounded(found, "sw_lat", "sw_lon", "ne_lat", "ne_lon")
 
 
 def parse_ids(spark, sf):
@@ -204,6 +255,13 @@ def cache_freshness(spark, sf):
     return cache.cached_or_missing(keys, table(spark, sf, "cache_entries"), F.lit("1998-07-15 00:00:00").cast("timestamp"))
 
 
+def cache_lookup(spark, sf):
+    """Customers' payloads: cached ones, else what the service has, here the latest order of each third customer."""
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("cache_key"))
+    service = table(spark, sf, "orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("cache_key")).agg(F.max("o_orderkey").alias("payload_id"))
+    return cache.lookup(keys, table(spark, sf, "cache_entries"), service, F.lit("1998-07-15 00:00:00").cast("timestamp"))
+
+
 def _gpx(spark, sf):
     places = table(spark, sf, "geo_track").groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon", "ele_m"))).alias("k"))
     arrays = places.select(F.col("profile_id").alias("segment_id"), F.col("k.lat").alias("lat"), F.col("k.lon").alias("lon"), F.col("k.ele_m").alias("ele"))
@@ -225,11 +283,30 @@ def gpx_roundtrip(spark, sf):
     return points.select("name", "seq", "lat", "lon", "ele")
 
 
+def gpx_profile(spark, sf):
+    """All tracks written as files, read back, and summed up along the way."""
+    folder = fresh_path(spark, "gpx")
+    gpx.write_gpx(_gpx(spark, sf), folder)
+    points = search.track_points(spark, f"{folder}/*")
+    names = points.select("profile_id", "name").distinct()
+    found = profile.summary(points).join(profile.gain_loss(points), "profile_id").join(names, "profile_id")
+    return _rounded(found, "total_m", "gain_m", "loss_m", "avg_grade", digits=4).select("name", "n_points", "total_m", "gain_m", "loss_m", "avg_grade")
+
+
+def gpx_target(spark, sf):
+    """The grades of a target that comes from a file: track 1."""
+    folder = fresh_path(spark, "gpx")
+    gpx.write_gpx(_gpx(spark, sf).where("segment_id = 1"), folder)
+    target = search.target_of_file(spark, f"{folder}/*", C)
+    return _rounded(spark.createDataFrame(list(enumerate(target.grades)), "bin_idx int, grade double"), "grade")
+
+
 def queries() -> dict[str, Query]:
     own = [
         haversine_step, cumulative_distance, gain_loss, profile_summary, interp_asof, resample_grades, grade_bands, composition_text, dtw_pairwise, emd_pairwise, reverse_profile,
         window_enumerate, window_features, best_window, best_window_forward_only, match_start_point, tile_grid, tile_scan_dedup, length_filter, stream_join, nearest_road,
-        nearest_road_exact, road_tier_probe, topk_matches, ranked_report, slugify_names, cache_freshness, gpx_lines, gpx_roundtrip,
+        nearest_road_exact, nearest_road_globe, access_sources, road_tier_probe, topk_matches, ranked_report, report_header, search_totals, segment_metadata, slugify_names,
+        cache_freshness, cache_lookup, gpx_lines, gpx_roundtrip, gpx_profile, gpx_target, sql_functions_on_roads, sql_tile_grid,
     ]
     return {f.__name__: f for f in own} | {"access_penalty": access_penalties, "parse_segment_id": parse_ids, "tile_cache_key": tile_cache_keys}
 

@@ -92,7 +92,7 @@ BEST_COLUMNS = f"""select profile_id, {r6("score")} as score, li, cast(si as int
 
 # places of a track that has a knot each 100 m
 GEO = "geo as (select profile_id, list(lat order by seq) la, list(lon order by seq) lo from geo_track group by 1)"
-STARTS = f"""{GEO}, bstart as (select best.profile_id, best.score, best.st, best.wl, best.dir, {at("la", "(case when dir=1 then st+wl else st end/100.0::double)")} as lat, {at("lo", "(case when dir=1 then st+wl else st end/100.0::double)")} as lon,
+STARTS = f"""{GEO}, bstart as (select best.profile_id, best.score, best.st, best.wl, best.dir, best.gg, {at("la", "(case when dir=1 then st+wl else st end/100.0::double)")} as lat, {at("lo", "(case when dir=1 then st+wl else st end/100.0::double)")} as lon,
  case when dir=0 then gain else loss end*3.28084::double gain_ft, case when dir=0 then loss else gain end*3.28084::double loss_ft, shape, dist, dev from best join geo on geo.profile_id=best.profile_id)"""
 
 TILES = """
@@ -128,6 +128,23 @@ def oracle_sql() -> dict[str, str]:
     emb = "v as (select profile_id, list(ele_m order by seq) e from embedding_profile group by 1), d as (select profile_id, list_transform(range(1,64), lambda i: (e[i+1]-e[i])) g from v), t as (select g tg from d where profile_id=0)"
     win = f"{cte('profile_points')},{TARGET},{WINDOWS}"
     geo_best = f"{cte('profile_points', 'geo_track', 'segments', 'roads')},{TARGET},{WINDOWS},{best(True)},{STARTS}"
+    top = f"""{geo_best},{TILES},{SCAN}, {LENGTH.format("scan")},
+ cand as (select fit.*, b.* exclude (profile_id) from bstart b join fit on fit.id=b.profile_id), starts as (select id as key, lat, lon, discovery_idx from cand), {tiers("starts")},
+ fin as (select cand.*, status, dist_m, {PENALTY} pen, score+{PENALTY} final from cand join tier on key=id),
+ top as (select *, row_number() over (order by final, discovery_idx) rank from fin)"""
+    lines = [
+        "printf('%d. %s  (segment is %.1f mi total)', rank, name, distance/1609.34::double)",
+        "'   '||case when dir=1 then printf('Run the segment BACKWARD (%s) \u2014 start at mile %.2f, finish at mile %.2f', leg, b, a) else printf('Run the segment as-recorded (%s) \u2014 mile %.2f to %.2f (%.2f mi)', leg, a, b, b-a) end",
+        "printf('   Gain: %.0f ft | Loss: %.0f ft | Grade: %.1f%% (target vertical: %.0f ft)', gain_ft, loss_ft, (gain_ft-loss_ft)/((b-a)*5280.0::double)*100, tv*3.28084::double)",
+        "'   Grade composition: '||composition",
+        "printf('   Scores: shape %.2f | distribution %.2f | gain dev %.0f%% | access %.2f | COMBINED %.2f', shape, dist, dev*100, pen, final)",
+        "'   '||case when status='found' then printf('~%dm from a road', cast(round_even(dist_m,0) as bigint)) when status='none' then 'no road within 2.5km' else 'access not confirmed' end",
+        "'   https://example.org/segments/'||cast(id as varchar)",
+    ]
+    block = "||chr(10)||".join(f"({x})" for x in lines)
+    rounded = "g as (select profile_id, case when profile_id%2=0 then -seq else seq end seq, round_even(lat,6) lat, round_even(lon,6) lon, round_even(ele_m,1) ele_m from geo_track)"
+    walked = f"""{rounded}, st as (select *, case when lag(lat) over w is null then 0.0::double else {hav('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} end step_m, ele_m-lag(ele_m) over w up from g window w as (partition by profile_id order by seq)),
+ cu as (select *, sum(step_m) over (partition by profile_id order by seq) d from st)"""
     seg_starts = "starts as (select id as key, start_lat as lat, start_lon as lon, discovery_idx from segments)"
     q = {
         "haversine_step": f"with {cte('geo_track')}, {steps} select profile_id, seq, {r6('step_m')} as step_m from st",
@@ -157,14 +174,37 @@ def oracle_sql() -> dict[str, str]:
         "nearest_road_exact": f"with {cte('segments', 'roads')}, {seg_starts}, near as ({nearest('starts')}) select key as id, 'found' as status, cast(round_even(d,0) as double) as dist_m from near",
         "road_tier_probe": f"with {cte('segments', 'roads')}, {seg_starts}, {tiers('starts')} select key as id, status, dist_m from tier",
         "access_penalty": f"with {cte('access_readings')} select profile_id, status, {r6(PENALTY)} as penalty, case when status='found' then '~'||cast(cast(round_even(dist_m,0) as bigint) as varchar)||'m from a road' when status='none' then 'no road within 2.5km' else 'access not confirmed' end as access from access_readings",
-        "topk_matches": f"""with {geo_best},{TILES},{SCAN}, {LENGTH.format("scan")},
- cand as (select fit.*, b.* exclude (profile_id) from bstart b join fit on fit.id=b.profile_id), starts as (select id as key, lat, lon, discovery_idx from cand), {tiers("starts")},
- fin as (select cand.*, status, dist_m, {PENALTY} pen, score+{PENALTY} final from cand join tier on key=id),
- top as (select *, row_number() over (order by final, discovery_idx) rank from fin)
+        "topk_matches": f"""with {top}
  select cast(rank as int) as rank, id as segment_id, name, {r6("final")} as final_score, {r6("score")} as terrain_score, {r6("pen")} as access_penalty, status as road_status, dist_m as road_dist_m,
  {r6("st")} as win_start_m, {r6("st+wl")} as win_end_m, {r6("gain_ft")} as gain_ft, {r6("loss_ft")} as loss_ft, {r6(f"(gain_ft-loss_ft)/(((st+wl)/{MILE_M}::double-st/{MILE_M}::double)*5280.0::double)*100")} as net_avg_grade,
  case when dir=0 then 'forward' else 'reverse' end as direction, case when gain_ft>=loss_ft then 'CLIMB' else 'DESCENT' end as leg, {r6("shape")} as shape_score, {r6("dist")} as dist_score, {r6("dev")} as gain_dev,
  {r6("lat")} as start_lat, {r6("lon")} as start_lon, {r6(f"distance/{MILE_M}")} as segment_total_mi, 'https://example.org/segments/'||cast(id as varchar) as url from top where rank<=10""",
+        "ranked_report": f"""with {top}, t10 as (select *, st/{MILE_M}::double a, (st+wl)/{MILE_M}::double b, case when gain_ft>=loss_ft then 'CLIMB' else 'DESCENT' end leg from top where rank<=10),
+ gv as (select id, unnest(gg) v from t10), bnd as (select * from (values {BANDS}) b(band_idx,lo,hi,label)),
+ shr as (select id, band_idx, label, avg(case when v>=lo and v<hi then 1.0::double else 0.0::double end) share from gv, bnd group by 1,2,3),
+ cmp as (select id, string_agg(cast(cast(round_even(share*100,0) as int) as varchar)||'% '||label, ', ' order by share desc, band_idx) filter (where share>0) composition from shr group by 1)
+ select cast(rank as int) as rank, {block} as block from t10 join cmp using (id), (select tv from target)""",
+        "report_header": f"with {top} select printf('TOP %d MATCHES (lower combined score = more similar shape + more reachable)', count(*)) as header from top where rank<=10",
+        "search_totals": f"""with {cte("profile_points", "segments")},{TILES},{SCAN}, {LENGTH.format("scan")} select 'tiles' as measure, count(*) as n from tiles union all select 'candidates', count(*) from scan
+ union all select 'survivors', count(*) from fit union all select 'scored', count(*) from fit where distance >= {C.min_window_frac * T_M!r}::double""",
+        "access_sources": f"""with {cte("segments", "roads")}, {seg_starts}, {tiers("starts")}, ex as (select key, 'found' as status, cast(round_even(d,0) as double) as dist_m from near),
+ e as (select key, status, dist_m, {r6(PENALTY)} p from ex), t as (select key, status, dist_m, {r6(PENALTY)} p from tier)
+ select e.key as id, e.status as exact_status, e.dist_m as exact_m, e.p as exact_penalty, t.status as tier_status, t.dist_m as tier_m, t.p as tier_penalty from e join t on e.key=t.key""",
+        "nearest_road_globe": f"with {cte('far_starts', 'far_roads')} select s.id, {r6('min(' + hav('s.start_lat', 's.start_lon', 'r.lat', 'r.lon') + ')', 3)} as road_m from far_starts s, far_roads r group by 1",
+        "segment_metadata": f"with {cte('segment_refs', 'segments')}, i as (select ref_id, case when regexp_full_match(trim(ref), '\\d+') then try_cast(trim(ref) as bigint) when regexp_extract(trim(ref), '/segments/(\\d+)', 1)<>'' then try_cast(regexp_extract(trim(ref), '/segments/(\\d+)', 1) as bigint) end as segment_id from segment_refs) select ref_id, segment_id, coalesce(name, 'Segment '||cast(segment_id as varchar)) as name, name is not null as known from i left join segments s on s.id=segment_id",
+        "sql_functions_on_roads": f"with {cte('roads')} select road_id, {r6(hav('40.0::double', '(-105.3::double)', 'lat', 'lon'), 4)} as dist_m, {r6('1.0/(111.0::double*cos(radians(lat)))', 9)} as degrees, {r6('1.0/111.0::double', 9)} as degrees_lat, cast(road_id as bigint) as again, 'road_'||cast(road_id as varchar)||'_é' as slug from roads",
+        "sql_tile_grid": f"with {TILES} select tile_idx, {r6('sw_lat')} as sw_lat, {r6('sw_lon')} as sw_lon, {r6('ne_lat')} as ne_lat, {r6('ne_lon')} as ne_lon from tiles",
+        "cache_lookup": f"""with {cte("cache_entries")}, l as (select *, row_number() over (partition by cache_key order by fetched_at desc, payload_id desc) rn from cache_entries),
+ f as (select * from l where rn=1 and fetched_at >= timestamp '1998-07-15' - interval 30 days), s as (select o_custkey k, max(o_orderkey) p from orders where o_custkey%3=0 group by 1)
+ select c_custkey as cache_key, case when is_miss then 'none' when not is_miss then 'cache' when p is not null then 'service' else 'none' end as source, case when is_miss then null when not is_miss then payload_id else p end as payload_id
+ from customer left join f on f.cache_key=c_custkey left join s on s.k=c_custkey""",
+        "gpx_profile": f"""with {cte("geo_track", "segments")}, {walked}, z as (select profile_id, count(*) n_points, max(d) total_m, sum(greatest(coalesce(up,0),0)) gain, sum(greatest(-coalesce(up,0),0)) loss, arg_min(ele_m,seq) e0, arg_max(ele_m,seq) e1 from cu group by 1)
+ select s.name||case when id%2=0 then ' (reversed)' else '' end as name, n_points, {r6("total_m", 4)} as total_m, {r6("gain", 4)} as gain_m, {r6("loss", 4)} as loss_m, {r6("case when total_m>0 then (e1-e0)/total_m*100 end", 4)} as avg_grade from z join segments s on s.id=profile_id""",
+        "gpx_roundtrip": f"""with {cte("geo_track", "segments")}, {rounded} select s.name||case when id%2=0 then ' (reversed)' else '' end as name, cast(row_number() over (partition by profile_id order by seq)-1 as int) as seq, lat, lon, ele_m as ele from g join segments s on s.id=profile_id""",
+        "gpx_target": f"""with {cte("geo_track")}, {walked}, one as (select * from cu where profile_id=1), kn as (select *, lead(d) over (order by seq) d1, lead(ele_m) over (order by seq) e1 from one),
+ tt as (select max(d) total, greatest(2, cast(round_even(max(d)/{BIN}::double,0) as bigint)) n from one), ed as (select i, case when i=n then total else i*(total/n) end x, total, n from tt, range(0,100000) r(i) where i<=n),
+ att as (select i, total, n, case when e1 is null then ele_m else ele_m+(e1-ele_m)*((x-d)/(d1-d)) end e from ed join kn on x>=d and (d1 is null or x<d1)),
+ nx as (select *, lead(e) over (order by i) en from att) select cast(i as int) as bin_idx, {r6("(en-e)/(total/n)*100")} as grade from nx where en is not null""",
         "parse_segment_id": f"with {cte('segment_refs')} select ref_id, case when regexp_full_match(trim(ref), '\\d+') then try_cast(trim(ref) as bigint) when regexp_extract(trim(ref), '/segments/(\\d+)', 1)<>'' then try_cast(regexp_extract(trim(ref), '/segments/(\\d+)', 1) as bigint) end as segment_id from segment_refs",
         "slugify_names": f"with {cte('names')} select doc_id, {SLUG} as slug, coalesce({SLUG}, 'segment_'||cast(doc_id as varchar))||case when doc_id%2=0 then '_reversed' else '' end||'.gpx' as file from names",
         "tile_cache_key": f"with {TILES} select tile_idx, translate(concat_ws('_', printf('%.4f',sw_lat), printf('%.4f',sw_lon), printf('%.4f',ne_lat), printf('%.4f',ne_lon)),'-.','mp')||'.json' as cache_key from tiles",

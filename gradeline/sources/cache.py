@@ -33,6 +33,21 @@ def cached_or_missing(keys: DataFrame, cache: DataFrame, as_of: Column, days: in
     return keys.join(found, "cache_key", "left").select("cache_key", state.alias("state"), F.when(~F.col("is_miss"), F.col("payload_id")).alias("payload_id"))
 
 
+def lookup(keys: DataFrame, cache: DataFrame, service: DataFrame, as_of: Column, days: int = CACHE_DAYS) -> DataFrame:
+    """keys with source (cache, service or none) and payload_id: cached where fresh, else what service (cache_key, payload_id) has."""
+    found = cached_or_missing(keys, cache, as_of, days)
+    known = found.where("state <> 'fetch'").select("cache_key", F.when(F.col("state") == "hit", "cache").otherwise("none").alias("source"), "payload_id")
+    asked = found.where("state = 'fetch'").select("cache_key").join(service.select("cache_key", "payload_id"), "cache_key", "left")
+    return known.unionByName(asked.select("cache_key", F.when(F.col("payload_id").isNull(), "none").otherwise("service").alias("source"), "payload_id"))
+
+
+def fetched_entries(keys: DataFrame, cache: DataFrame, service: DataFrame, as_of: Column, days: int = CACHE_DAYS) -> DataFrame:
+    """The entries that a lookup adds to the cache: what it fetched, and a negative entry for each key that has nothing."""
+    missing = cached_or_missing(keys, cache, as_of, days).where("state = 'fetch'").select("cache_key")
+    asked = missing.join(service.select("cache_key", "payload_id"), "cache_key", "left")
+    return asked.select("cache_key", "payload_id", as_of.alias("fetched_at"), F.col("payload_id").isNull().alias("is_miss"))
+
+
 def write_cache(entries: DataFrame, path: str) -> None:
     """Replaces the cache."""
     entries.write.mode("overwrite").parquet(path)

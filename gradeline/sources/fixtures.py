@@ -31,6 +31,15 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         "select s_suppkey as road_id, cast(40.0 as double)+cast(s_suppkey%23 as double)*cast(0.009 as double) as lat, cast(-105.3 as double)+cast(s_suppkey%19 as double)*cast(0.011 as double) as lon from {supplier}",
         ("supplier",),
     ),
+    "far_starts": (
+        "select s_suppkey as id, asin(cast(s_suppkey%41 as double)/cast(20.5 as double)-cast(1 as double))*cast(57.29577951308232 as double) as start_lat,"
+        " cast(s_suppkey*37%360 as double)-cast(179.9 as double) as start_lon from {supplier}",
+        ("supplier",),
+    ),
+    "far_roads": (
+        "select n_nationkey as road_id, cast(n_nationkey*53%171 as double)-cast(85 as double) as lat, case when n_nationkey%3=0 then cast(179.5 as double) else cast(n_nationkey*67%359 as double)-cast(179 as double) end as lon from {nation}",
+        ("nation",),
+    ),
     "access_readings": (
         "select c_custkey as profile_id, case when c_custkey%10=0 then 'unchecked' when c_custkey%10=1 then 'none' else 'found' end as status,"
         " case when c_custkey%10<2 then cast(null as double) else abs(cast(c_acctbal as double)) end as dist_m from {customer}",
@@ -42,7 +51,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         " when p_partkey%3=1 then concat('https://example.org/segments/', cast(p_partkey as varchar(20)), '?x=1') else concat('bad-', p_name) end as ref from {part}",
         ("part",),
     ),
-    "names": ("select doc_id, substr(text,1,40) as name from {documents}", ("documents",)),
+    "names": ("select p_partkey as doc_id, concat(p_name, case when p_partkey%3=0 then ' / #é  ' else '' end, p_name) as name from {part}", ("part",)),
 }
 
 

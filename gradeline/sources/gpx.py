@@ -42,6 +42,7 @@ def gpx_lines(streams: DataFrame, reverse: Column, url_base: str) -> DataFrame:
         source = source.withColumn(c, F.when(F.col("rev"), F.reverse(c)).otherwise(F.col(c)))
     points = F.slice(F.arrays_zip("lat", "lon", "ele"), 1, n)
     title = F.concat(F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("Segment "), F.col("segment_id").cast("string"))), F.when(F.col("rev"), " (reversed)").otherwise(""))
+    # The lines of the layout.
     head = F.array(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>'),
         F.lit('<gpx version="1.1" creator="gradeline" xmlns="http://www.topografix.com/GPX/1/1">'),
@@ -57,11 +58,24 @@ def gpx_lines(streams: DataFrame, reverse: Column, url_base: str) -> DataFrame:
 
 
 def write_gpx(lines: DataFrame, folder: str) -> None:
-    """One file per segment under folder, each by the task that has its row; file names are part of the folder's key."""
-    files = lines.select(base_filename(F.col("name"), F.col("segment_id"), F.col("rev")).alias("file"), F.array_join("lines", "\n").alias("value"))
+    """One file per segment under folder, each by the task that has its row; the id keeps segments of one name apart."""
+    stem = F.regexp_replace(base_filename(F.col("name"), F.col("segment_id"), F.col("rev")), r"\.gpx$", "")
+    files = lines.select(F.concat(stem, F.lit("-"), F.col("segment_id").cast("string"), F.lit(".gpx")).alias("file"), F.array_join("lines", "\n").alias("value"))
     files.write.partitionBy("file").text(folder)
 
 
+def export_gpx(lines: DataFrame, out: str | None = None) -> str:
+    """Writes the one segment of lines as a file of the driver, and returns its path: out, or a name of its own there."""
+    rows = lines.select(base_filename(F.col("name"), F.col("segment_id"), F.col("rev")).alias("file"), "lines").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("an export needs one segment that has places")
+    path = export_path(out, rows[0]["file"])
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join([*rows[0]["lines"], ""]))
+    return path
+
+
 def export_path(out: str | None, name: str) -> str:
     """Where an export goes: nowhere named or a folder, then its own name there; a path that ends in .gpx as it is."""
     if not out:

@@ -151,7 +151,8 @@ def test_roads_far_and_none(spark):
     starts = spark.createDataFrame([(1, 40.0, -105.0, 0), (2, 10.0, 10.0, 1)], "key int, lat double, lon double, discovery_idx int")
     roads = spark.createDataFrame([(40.001, -105.0)], "lat double, lon double")
     got = {r["key"]: r["road_m"] for r in spatial.nearest_road_any(starts, roads).collect()}
-    assert got[1] == pytest.approx(111.19, abs=0.1) and got[2] is None
+    assert got[1] == pytest.approx(111.19, abs=0.1) and got[2] == pytest.approx(one(spark, haversine_m(F.lit(10.0), F.lit(10.0), F.lit(40.001), F.lit(-105.0))))
+    assert spatial.nearest_road_any(starts, roads.limit(0)).where("road_m IS NOT NULL").count() == 0
     tiers = {r["key"]: (r["status"], r["dist_m"]) for r in spatial.road_tiers(starts, roads).collect()}
     assert tiers == {1: ("found", 300.0), 2: ("none", None)}
 
@@ -199,3 +200,93 @@ def test_search_report(spark):
     blocks = catalogue.queries()["ranked_report"](spark, SF).collect()
     assert [b["rank"] for b in blocks] == list(range(1, len(blocks) + 1)) and all("Scores:" in b["block"] for b in blocks)
     assert search.with_access(spark.range(1).withColumnRenamed("id", "segment_id"), None, MatchConfig()).first()["road_status"] == "not_requested"
+
+
+def globe(a, b):
+    a, b = np.radians(a), np.radians(b)
+    h = np.sin((b[0] - a[0]) / 2) ** 2 + np.cos(a[0]) * np.cos(b[0]) * np.sin((b[1] - a[1]) / 2) ** 2
+    return 2 * 6371000 * np.arcsin(np.sqrt(min(1, h)))
+
+
+def test_roads_near_poles_and_across_the_meridian(spark):
+    places = [(89.9999, 10.0), (-90.0, 0.0), (10.0, 179.9999), (10.0, -179.9999), (0.0, 0.0), (45.0, 90.0), (None, 1.0)]
+    roads = [(89.9998, -170.0), (-89.99, 77.0), (10.0, -179.99995), (0.01, 0.01), (45.0, 95.0)]
+    starts = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "key int, lat double, lon double")
+    known = spark.createDataFrame(roads, "lat double, lon double")
+    for found, most in ((spatial.nearest_road(starts, known, 2500.0), 2500), (spatial.nearest_road_any(starts, known), 1e9)):
+        got = {r["key"]: r["road_m"] for r in found.collect()}
+        for i, p in enumerate(places):
+            d = None if p[0] is None else min(globe(p, r) for r in roads)
+            assert got[i] is None if d is None or d > most else got[i] == pytest.approx(d, abs=1e-3)
+
+
+def test_kernels_and_registered_functions_agree(spark):
+    from gradeline.functions import sql
+
+    sql.register(spark)
+    rows = spark.createDataFrame([(1, B), (2, A), (3, []), (4, None)], "profile_id int, g array<double>")
+    got = {r["profile_id"]: r["dtw"] for r in windows.warp_to(rows, A).collect()}
+    assert got[1] == pytest.approx(4 / 7) and got[2] == 0 and got[3] is None and got[4] is None
+    want = rows.where("size(g) > 0").select("profile_id", sequences.dtw(F.lit(A), F.col("g")).alias("d"), F.expr(f"dtw_distance(array({','.join(f'{x}D' for x in A)}), g)").alias("e"), F.expr(f"wasserstein_1d(array({','.join(f'{x}D' for x in A)}), g)").alias("w"))
+    for r in want.collect():
+        assert got[r["profile_id"]] == pytest.approx(r["d"]) == pytest.approx(r["e"])
+        assert r["w"] == pytest.approx(0.8901010101010101 if r["profile_id"] == 1 else 0)
+
+
+def test_irregular_windows_against_plain_sampling(spark):
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.choice([0.0, 3.0, 40.0, 130.0], 80))
+    y = np.cumsum(rng.normal(0, 4, 80))
+    t = windows.make_target(x[:30] - x[0], y[:30], 300.0)
+    c = MatchConfig(grade_bin_mi=300 / 1609.34)
+    got = {(r["li"], r["si"]): r for r in windows.window_features(streams(spark, [(1, x.tolist(), y.tolist(), None, None)]), t, c).collect()}
+    n = 0
+    for li, f in enumerate(np.linspace(0.75, 1.15, 7)):
+        length = t.length_m * f
+        for si, start in enumerate(np.arange(0, max(x[-1] - length, 0) + 1e-9, max(0.02 * t.length_m, 10.0))):
+            s = np.linspace(start, start + length, max(4 * len(t.grades), 100))
+            e = np.interp(s, x, y)
+            bins = max(2, round(length / 300.0))
+            g = np.diff(np.interp(np.linspace(0, length, bins + 1), s - start, e)) / (length / bins) * 100
+            d = np.diff(e)
+            r = got[li, si]
+            assert (r["gain_m"], r["loss_m"], r["first_grade"], r["last_grade"]) == pytest.approx((d[d > 0].sum(), -d[d < 0].sum(), g[0], g[-1]), abs=1e-6)
+            n += 1
+    assert n == len(got)
+
+
+def test_search_from_a_file(spark, tmp_path):
+    lat = [40.0 + i / 1000 for i in range(31)]
+    ele = np.cumsum(np.random.default_rng(3).normal(1, 5, 31)).round(1).tolist()
+    s = spark.createDataFrame([(1, "Same", lat, [-105.3] * 31, ele), (2, "Same", lat, [-105.3] * 31, ele)], "segment_id int, name string, lat array<double>, lon array<double>, ele array<double>")
+    lines = gpx.gpx_lines(s, F.lit(False), "https://example.org")
+    gpx.write_gpx(lines, str(tmp_path / "g"))
+    assert gpx.read_gpx(spark, str(tmp_path / "g" / "*")).select("track_id").distinct().count() == 2
+    path = gpx.export_gpx(lines.where("segment_id = 1"), str(tmp_path / "new"))
+    assert path.endswith("/new/same.gpx") and open(path).read().endswith("</gpx>\n")
+    with pytest.raises(ValueError):
+        gpx.export_gpx(lines, path)
+    target = search.target_of_file(spark, path, MatchConfig())
+    dist = [float(globe((a, -105.3), (40.0, -105.3))) for a in lat]
+    assert target.length_m == pytest.approx(dist[-1]) and target.grades == pytest.approx(windows.make_target(dist, ele, MatchConfig().bin_m).grades, abs=1e-6)
+    segments = spark.createDataFrame([(1, "Same", dist[-1], "running", 40.0, -105.3, 0)], "id int, name string, distance double, activity_type string, start_lat double, start_lon double, discovery_idx int")
+    tracks = spark.createDataFrame([(1, dist, ele, lat, [-105.3] * 31)], "segment_id int, dist array<double>, ele array<double>, lat array<double>, lon array<double>")
+    roads = spark.createDataFrame([(41.0, -105.3)], "lat double, lon double")
+    for exact, status in ((False, "none"), (True, "found")):
+        best = search.search(spark, segments, tracks, roads, target, MatchConfig(exact_roads=exact)).first()
+        assert (best["segment_id"], best["road_status"]) == (1, status) and best["terrain_score"] < 0.5
+    assert {r["measure"]: r["n"] for r in search.totals(spark, segments, tracks, target, MatchConfig()).collect()} == {"tiles": 64, "candidates": 1, "survivors": 1, "scored": 1}
+
+
+def test_cache_lookups_are_written_and_cleared(spark, tmp_path):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    entries = spark.sql("select * from values (1, 10, timestamp'2023-12-20', false), (2, 12, timestamp'2023-01-01', false) t(cache_key, payload_id, fetched_at, is_miss)")
+    service = spark.createDataFrame([(2, 22)], "cache_key int, payload_id int")
+    keys = spark.createDataFrame([(k,) for k in (1, 2, 3)], "cache_key int")
+    got = {r["cache_key"]: (r["source"], r["payload_id"]) for r in cache.lookup(keys, entries, service, now).collect()}
+    assert got == {1: ("cache", 10), 2: ("service", 22), 3: ("none", None)}
+    path = str(tmp_path / "cache")
+    cache.write_cache(entries.unionByName(cache.fetched_entries(keys, entries, service, now)), path)
+    again = {r["cache_key"]: (r["source"], r["payload_id"]) for r in cache.lookup(keys, spark.read.parquet(path), service.limit(0), now).collect()}
+    assert again == {1: ("cache", 10), 2: ("cache", 22), 3: ("none", None)}
+    assert cache.clear_cache(spark, path) and not cache.clear_cache(spark, path)
