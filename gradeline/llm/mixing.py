@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, written
 
-#: Rows of a hash bucket and slots of a chunk, about; sources with more rows get more buckets.
-BUCKET, CHUNK = 256, 256
+#: Rows of a hash bucket and slots of a chunk, about; sources with more rows get more buckets. Buckets, or chunks, that are
+#: summed up in one task, and whose sums then are.
+BUCKET, CHUNK, TOGETHER = 256, 256, 4096
+#: Words of a block. It decides how finely sources alternate, at every size alike; targets are met whatever it is.
+BLOCK = 1024
 #: Cells of [0, 1) over which points meet the sources' stretches.
 CELLS = 1024
 GOLDEN = (sqrt(5) - 1) / 2
@@ -58,18 +61,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     )
 
 
-def schedule(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 6) -> DataFrame:
-    """docs has row, doc_id, source, size. A row for each document and pass through its source (one at least):
+def _before(sums: DataFrame, place: str, value: str, base: str) -> DataFrame:
+    """sums (no, place, value) with base, the sum of the values of a source's earlier places.
+
+    Places are summed up in groups of TOGETHER, and the groups' sums then are, so no task sees all of a source's places.
+    """
+    group = F.expr(f"{place} div {TOGETHER}")
+    inside = F.coalesce(F.sum(value).over(W.partitionBy("no", "group").orderBy(place).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    whole = sums.groupBy("no", group.alias("group")).agg(F.sum(value).alias("all"))
+    whole = whole.select("no", "group", F.coalesce(F.sum("all").over(W.partitionBy("no").orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    return sums.withColumn("group", group).withColumn("inside_group", inside).join(whole, ["no", "group"]).select("no", place, (F.col("inside_group") + F.col("earlier")).alias(base))
+
+
+def schedule(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 6, block: int = BLOCK) -> DataFrame:
+    """docs has row, doc_id, source, size and tie, a hash of the text. Documents are shuffled by id and tie, so where rows
+    stand in the input doesn't matter; rows alike in all of these may change places. A row for each document and pass
+    through its source (one at least):
 
     row, doc_id, size, source_size, target, pass, first and last: the words of the document that the pass takes.
     first is null where the mix takes none.
     """
     spark = docs.sparkSession
-    base = written(docs.select("row", "doc_id", "source", "size").withColumn("h", F.xxhash64("doc_id", F.lit(seed))), "mix-docs")
+    base = written(docs.select("row", "doc_id", "source", "size", "tie").withColumn("h", F.xxhash64("doc_id", "tie", F.lit(seed))), "mix-docs")
     plan = targets(base.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size")), weights, share, cap)
     words = F.col("source_size")
-    total = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t")).first()["t"]
-    block = max(16, min(1024, int(total) >> 16))
     plan = plan.withColumns(
         {
             "quota": F.round("target").cast("long"),
@@ -95,8 +110,7 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
         .withColumn("k", F.row_number().over(W.partitionBy("no", "chunk").orderBy("id")) - 1)
     )
     given = written(given, "mix-slots")
-    chunks = given.groupBy("no", "chunk").agg(F.count("*").alias("c"))
-    bases = chunks.withColumn("base", F.coalesce(F.sum("c").over(W.partitionBy("no").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    bases = _before(given.groupBy("no", "chunk").agg(F.count("*").alias("c")), "chunk", "c", "base")
     ranked = given.join(bases, ["no", "chunk"]).select("no", (F.col("base") + F.col("k")).alias("k"))
     short = (
         sources.where("need > 0").select("no", "need").join(given.groupBy("no").agg(F.count("*").alias("got")), "no", "left")
@@ -112,13 +126,13 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     # places on the sources' axes
     own = sources.select("source", "no", "source_size", "target", "bits")
     dealt = (
-        base.join(own, base["source"].eqNullSafe(own["source"])).select("row", "doc_id", "size", "h", "no", "source_size", "target", "bits")
+        base.join(own, base["source"].eqNullSafe(own["source"])).select("row", "doc_id", "size", "tie", "h", "no", "source_size", "target", "bits")
         .withColumn("bucket", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)")))
     )
-    inner = W.partitionBy("no", "bucket").orderBy("h", "doc_id", "row").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("no", "bucket").orderBy("h", "doc_id", "tie", "row").rowsBetween(W.unboundedPreceding, -1)
     dealt = dealt.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     sums = base.join(own, base["source"].eqNullSafe(own["source"])).groupBy("no", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)")).alias("bucket")).agg(F.sum("size").alias("s"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(W.partitionBy("no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    sums = _before(sums, "bucket", "s", "before")
     placed = dealt.join(sums, ["no", "bucket"]).withColumn("at", F.col("inside") + F.col("before"))
     pieces = placed.select(
         "row", "doc_id", "size", "no", "source_size", "target", "at",
@@ -133,9 +147,9 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """row, doc_id, source and size (in words) of each document."""
+    """row, doc_id, source, size (in words) and tie of each document."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
