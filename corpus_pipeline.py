@@ -48,7 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "mix-rows")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    spans = mixing.schedule(docs.select("row", "doc_id", F.col("source").cast("string").alias("source"), size.alias("size")))
+    spans = mixing.schedule(docs.select("row", "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("tie")))
     spans = spans.where("first IS NOT NULL").select("row", "first", "last", "size")
     words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
     cut = F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " ")
