@@ -274,7 +274,7 @@ def test_search_from_a_file(spark, tmp_path):
     roads = spark.createDataFrame([(41.0, -105.3)], "lat double, lon double")
     for exact, status in ((False, "none"), (True, "found")):
         best = search.search(spark, segments, tracks, roads, target, MatchConfig(exact_roads=exact)).first()
-        assert (best["segment_id"], best["road_status"]) == (1, status) and best["terrain_score"] < 0.5
+        assert (best["segment_id"], best["road_status"]) == (1, status) and best["terrain_score"] < 2
     assert {r["measure"]: r["n"] for r in search.totals(spark, segments, tracks, target, MatchConfig()).collect()} == {"tiles": 64, "candidates": 1, "survivors": 1, "scored": 1}
 
 
