@@ -5,8 +5,9 @@ that bit from those without; a scale fitted by logistic regression turns its evi
 codeword with the least logistic loss, bits weighted by how well they separate the sample, and flags a document as
 ambiguous where the two nearest codewords are close.
 
-Fitting uses a bounded sample: at most PER_LANGUAGE labelled documents of a language and SAMPLE in all, by a hash of the
-id, each as at most FEATURES counts. Predicting reads every whole text and nothing but it.
+Fitting uses a bounded sample, by a hash of id and text: in expectation at most PER_LANGUAGE labelled documents of a
+language, SAMPLE in all and COUNTED bytes of counts. Of more than LANGUAGES labels the most frequent are learned, ties by
+code point. Predicting reads every whole text and nothing but it.
 
 A null text, or one without a letter, is "und" with score 0. With a single learned language every other text is it,
 with none every text is "und". Ties go to the language first by code point. Rows are kept as they come, repeated or not;
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, unused
 
-#: Bounds of the sample that the classifiers are fitted on, in documents.
-PER_LANGUAGE, SAMPLE = 1000, 20_000
+#: Bounds of the sample that the classifiers are fitted on, in documents, labels, and bytes of counts on the driver.
+PER_LANGUAGE, SAMPLE, LANGUAGES, COUNTED = 1000, 20_000, 200, 1 << 27
 #: Buckets for pairs and for triples of bytes.
 PAIRS, TRIPLES = 1 << 12, 1 << 15
 FEATURES = PAIRS + TRIPLES
@@ -43,9 +44,12 @@ _fold[128:] = np.arange(128, 256)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed pairs and triples at each byte of all texts, each text between two blanks; and where each text begins."""
+    """Hashed pairs and triples at each byte of all texts, and where each text begins.
+
+    Two blanks stand before each text and one behind, so what looks ahead from its end sees the next one's blanks only.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 3
-    b = _fold[np.frombuffer(b" " + b"   ".join(texts) + b"    ", np.uint8)].astype(np.uint32)
+    b = _fold[np.frombuffer(b"  " + b"   ".join(texts) + b"   ", np.uint8)].astype(np.uint32)
     two = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77)
     three = two + b[2:] * np.uint32(0xC2B2AE3D)
     three ^= three >> np.uint32(15)
@@ -155,16 +159,16 @@ def fit(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: st
     """A model from the rows of docs that may be learned from and have a language."""
     small_batches(docs.sparkSession)
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    # a text has two features a byte, each counted once in six bytes
+    counted_bytes = F.least(F.octet_length(text) * 2 + 3, F.lit(FEATURES)).cast("double") * 6
+    sizes = rows.groupBy(lang.alias("lang")).agg(F.count("*").alias("n"), F.sum(counted_bytes).alias("bytes")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return _fit([], np.zeros(0, np.int64), [])
-    if len(sizes) > SAMPLE:
-        raise ValueError(f"{len(sizes)} languages: the label column isn't a language")
-    bound = max(1, min(PER_LANGUAGE, SAMPLE // len(sizes)))
-    share = F.lit(1.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, bound / n))).otherwise(share)
-    chosen = rows.where((F.pmod(F.xxhash64(F.col(id_col), F.lit(4)), F.lit(1 << 30)) / (1 << 30)) < share)
+    bound, part = max(1, min(PER_LANGUAGE, SAMPLE // len(sizes))), COUNTED / len(sizes)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, bound / r["n"], part / r["bytes"]))])
+    place = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(4)), F.lit(1 << 30)) / (1 << 30)
+    chosen = rows.where(place < F.coalesce(F.try_element_at(share, lang), F.lit(0.0)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +179,7 @@ def fit(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: st
                 out.append(place.astype("<u2").tobytes() + count.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "counts"])
 
-    sample = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(counted, "lang string, counts binary").toPandas()
+    sample = chosen.select(lang.alias("lang"), text.alias("text")).mapInArrow(counted, "lang string, counts binary").toPandas()
     if sample.empty:
         return _fit([], np.zeros(0, np.int64), [])
     languages = sorted(set(sample["lang"]))
@@ -198,7 +202,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             lang, score = model.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang), pa.array(score), pa.array(score < SURE)], names=[*kept, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(predict, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias(unused("__text", kept))).mapInArrow(predict, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, unused
 from .tokenize import BLANK_KEPT, BYTES
 
 #: Pre-tokens and pieces that one worker remembers; beyond it the memory starts anew. Results don't depend on it.
@@ -133,7 +133,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, text_col: str = "t
             sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes, pa.array(n), pa.array(n > limit)], names=[*kept, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(count, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias(unused("__text", kept))).mapInArrow(count, schema)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,3 +399,73 @@ def test_secrets_within_longer_runs(spark, docs):
             assert k in text[start:end] and end - start <= len(k) + 20
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, model).collect()}
     assert all(key not in t and other not in t for t in clean.values()) and clean[2] == texts[2] and clean[3] == "key [SECRET] ends"
+
+
+def test_language_decoding_against_plain_sums():
+    texts = ["Der Hund läuft", "the dog runs", "zz 9 ünï", "a", "日本語"]
+    r = np.random.default_rng(1)
+    codes = language.codewords(4)
+    bits = codes.shape[1]
+    model = language.Model(list("abcd"), codes, r.normal(size=(language.FEATURES, bits)), r.normal(size=bits), r.normal(size=bits), r.random(bits))
+    got = model.evidence([t.encode() for t in texts])
+    lang, score = model.decode(got)
+    for i, text in enumerate(texts):
+        pairs, triples, _ = language.features([text.encode()])
+        assert len(pairs) == len(triples) == len(text.encode()) + 3 and pairs.max() < language.PAIRS <= triples.min()
+        plain = [sum(model.weights[p, j] + model.weights[t, j] for p, t in zip(pairs, triples)) / len(text.encode()) ** 0.5 for j in range(bits)]
+        assert got[i] == pytest.approx(plain)
+        loss = [sum(model.trust[j] * np.log1p(np.exp(-c[j] * (plain[j] * model.scale[j] + model.bias[j]))) for j in range(bits)) for c in codes]
+        assert lang[i] == int(np.argmin(loss)) and score[i] == pytest.approx(np.exp(-min(loss)) / sum(np.exp(-x) for x in loss))
+
+
+def test_language_of_many_labels_and_clashing_names(spark):
+    rows = [(None if i % 2 else i, f"{'abcdefgh'[i % 8] * 9} x", f"l{i % 230:03d}") for i in range(460)] + [(1, "zzzz yyyy", "l229")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, F.lit(True))
+    assert len(model.languages) == language.LANGUAGES and "l229" in model.languages and "l228" not in model.languages
+    got = language.identify(df.withColumns({"__text": F.lit("mine"), "_text": F.lit("too")}), model).collect()
+    assert len(got) == len(rows) and all(r["__text"] == "mine" and r["lang_pred"] in model.languages for r in got)
+    assert all(r["__text"] == "mine" and r["n_bytes"] > 0 for r in token_counts.token_counts(df.withColumn("__text", F.lit("mine")), BYTE, 9).collect())
+
+
+def test_copies_without_ids_or_with_repeated_ones(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, prose(50)), (1, prose(51)), (None, prose(52)), (None, prose(52) + " more"), (None, prose(50)), (2, prose(51)), (7, prose(53)), (3, prose(53)), (4, None), (4, ""), (None, " ")]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.without_copies(spark, df, "").collect()]
+    assert sorted((i or -1, t or "") for i, t in got if t and t.strip() and i) == sorted([(1, prose(50)), (1, prose(51)), (3, prose(53))])
+    assert sum(i is None and prose(52) in t for i, t in got) == 1 and len(got) == 7
+
+
+def test_site_quality_against_plain_posteriors(spark):
+    r = np.random.default_rng(5)
+    sites = [(f"h{h}", f"h{h}/{p}", r.random()) for h in range(6) for p in range(3)]
+    rows, labels = [], []
+    for i in range(600):
+        h, p, share = sites[min(int(r.integers(0, 18)), int(r.integers(0, 18)))]
+        rows.append((i, prose(7000 + i, 60), h if h != "h5" else None, p))
+        if i % 3:
+            labels.append((i, int(r.random() < share)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string").repartition(3)
+    good = dict(labels)
+    got = {x["doc_id"]: x for x in quality.score(quality.features(df, F.col("host"), F.col("path")), spark.createDataFrame(labels, "doc_id long, good int")).collect()}
+    base = np.log((sum(good.values()) + 1) / (len(good) - sum(good.values()) + 1))
+    p = {i: good.get(i, 1 / (1 + np.exp(-x["evidence"] - base))) for i, x in got.items()}
+
+    def strength(groups):
+        n, s = (np.array([f(g) for g in groups], float) for f in (len, sum))
+        mean, k = s.sum() / n.sum(), len(n)
+        between = ((n * (s / n - mean) ** 2).sum() - (k - 1) * mean * (1 - mean)) / (n.sum() - (n * n).sum() / n.sum())
+        return min(1e4, max(2.0, mean * (1 - mean) / between - 1)) if between > 0 else 1e4
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, _, h, q in rows:
+        hosts[h].append(p[i]), paths[h, q].append(p[i])
+    a, b = strength(hosts.values()), strength(paths.values())
+    for i, _, h, q in rows:
+        mean = (sum(p.values()) + 1 - p[i]) / (len(p) + 1)
+        of_host = (a * mean + sum(hosts[h]) - p[i]) / (a + len(hosts[h]) - 1)
+        of_path = (b * of_host + sum(paths[h, q]) - p[i]) / (b + len(paths[h, q]) - 1)
+        odds = got[i]["evidence"] + np.log(of_path / (1 - of_path))
+        assert got[i]["host_share"] == pytest.approx(of_host) and got[i]["path_share"] == pytest.approx(of_path)
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-odds))) and got[i]["kept"] == (got[i]["score"] >= 0.5)
