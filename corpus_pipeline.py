@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.llm import jaccard, language, mixing, packing, secrets
-from gradeline.llm.common import documents, written
+from gradeline.llm.common import discard, documents, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies of the corpus: words of a shingle and least Jaccard similarity, in percent. op7_grouped_prefix_join has its own.
@@ -25,14 +25,20 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near copies, and those that have no shingles.
+    """Keeps one row of each component of near copies, that with the smallest id, and every row without a word.
 
     Near copies share COPY_NEAR percent or more of their distinct shingles of COPY_WORDS words, directly or by a chain.
-    Rows that repeat an id are one document; so are rows without an id and with equal columns.
+    Rows are told apart by a number, not by id: different texts under one id, or without an id, are documents of their
+    own, and copies among them go. A row with an id is kept before one without; rows alike in id are told by number.
     """
-    found = jaccard.near_components(docs, words=COPY_WORDS, near=COPY_NEAR)
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL").distinct())
+    place = F.monotonically_increasing_id()
+    # the number of the partition, mixed into the lower half, keeps filters on the number's last bits selective
+    number = place.bitwiseXOR((F.shiftright(place, 33) * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = written(docs.select(*COLUMNS, number.alias("row")), "copy-rows")
+    found = jaccard.near_components(rows, id_col="row", words=COPY_WORDS, near=COPY_NEAR).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +79,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
