@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def remembered(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps under a key from task to task. It keeps one thing at a time."""
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def forget() -> None:
+    """Drops what the worker keeps, for kernels that have no use for it."""
+    _remembered.clear()
+
+
+_remembered: dict[tuple, Any] = {}
+
+
 def unused(name: str, columns: list[str]) -> str:
     """name, with underscores in front until none of the columns has it."""
     taken = {c.lower() for c in columns}

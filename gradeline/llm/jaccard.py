@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, small_batches, written
+from .common import discard, documents, forget, small_batches, written
 from .components import components
 
 #: Words of a shingle and the similarity of a link, in percent, where a caller names none: those of op7_grouped_prefix_join.
@@ -134,6 +134,7 @@ def _count(words: int):
     """Counts of one task, where one byte tells them: from 255 on they are alike."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             sets = shingle_sets(batch.column(0).to_pylist(), words)
@@ -173,6 +174,7 @@ def _bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
 
 def _prefixed(counts: np.ndarray, words: int, near: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             n, digest, group, prefix, bitmap = [], [], [], [], []
@@ -211,6 +213,7 @@ def _sets_of(left: np.ndarray, right: np.ndarray, words: int):
     """The sets of ids that may stand on the left or the right of a pair, and on which side."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             is_u, is_v = _marked(left, ids), _marked(right, ids)
@@ -226,6 +229,7 @@ def _entries(marks: np.ndarray):
     """The prefix shingles of groups that may be in a list."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sizes = pa.compute.list_value_length(batch.column(2)).to_numpy()
             token = batch.column(2).flatten().to_numpy()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, unused
+from .common import documents, forget, small_batches, unused
 
 #: Bounds of the sample that the classifiers are fitted on, in documents, labels, and bytes of counts on the driver.
 PER_LANGUAGE, SAMPLE, LANGUAGES, COUNTED = 1000, 20_000, 200, 1 << 27
@@ -171,6 +171,7 @@ def fit(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: st
     chosen = rows.where(place < F.coalesce(F.try_element_at(share, lang), F.lit(0.0)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts, out = [t.encode() for t in batch.column(1).to_pylist()], []
             for text in texts:
@@ -198,6 +199,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     schema = docs.select(*kept).withColumns({"lang_pred": F.lit("x"), "score": F.lit(0.0), "ambiguous": F.lit(True)}).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             lang, score = model.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang), pa.array(score), pa.array(score < SURE)], names=[*kept, "lang_pred", "score", "ambiguous"])

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, unused
+from .common import documents, remembered, small_batches, unused
 from .tokenize import BLANK_KEPT, BYTES
 
 #: Pre-tokens and pieces that one worker remembers; beyond it the memory starts anew. Results don't depend on it.
@@ -114,7 +114,9 @@ class TokenCounter:
         return out
 
 
-_counters: dict[str, TokenCounter] = {}
+def counter_of(path: str) -> TokenCounter:
+    """This worker's counter for a tokenizers file."""
+    return remembered(("counter", path), lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int, text_col: str = "text") -> DataFrame:
@@ -124,9 +126,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, text_col: str = "t
     schema = docs.select(*kept).withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(True)}).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _counters:
-            _counters[tokenizer] = TokenCounter(tokenizer)
-        counter = _counters[tokenizer]
+        counter = counter_of(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             n = np.array([x for i in range(0, len(texts), 400) for x in counter.counts(texts[i : i + 400])], np.int64)

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from .common import remembered
+
 #: Units that one worker remembers; beyond it the memory starts anew. Results don't depend on it.
 REMEMBERED = 1_200_000
 #: Slots of the table, a power of two; and the longest unit in bytes that is remembered.
@@ -295,11 +297,6 @@ class PieceEncoder:
         return (ids, lengths) if len(lengths) == len(texts) and lengths.sum() == len(ids) else self._alone(texts)
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder for a tokenizers file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return remembered(("encoder", path), lambda: PieceEncoder(path))
