@@ -315,7 +315,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(rest)
 
     final = written(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "class-components")
-    return every.join(final, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = every.join(final, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = written(out, "near-components")
+    discard(every, classes, groups, members, firsts, final, links, more, so_far, found)
+    return out
 
 
 def op7_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
