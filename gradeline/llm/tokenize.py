@@ -26,8 +26,8 @@ from .common import remembered
 REMEMBERED = 1_200_000
 #: Slots of the table, a power of two; and the longest unit in bytes that is remembered.
 SLOTS, LONGEST = 1 << 21, 48
-#: Bytes of text that are worked on at a time. A longer text is cut at a blank.
-TOGETHER = 1 << 20
+#: Bytes of text that are worked on at a time; arrays over them take some fifty times as much. A longer text is cut at a blank.
+TOGETHER = 1 << 18
 #: Units that the library encodes as one text.
 JOINED = 256
 #: Fixed: the pre-tokens of the byte-level tokenizers.
@@ -70,7 +70,7 @@ class UnitMemory:
     def clear(self) -> None:
         self.key, self.entry, self.n, self.used = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), 0, 0
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 where there is none."""
@@ -247,7 +247,7 @@ class PieceEncoder:
             entry = np.insert(entry, np.cumsum(units), memory.add(np.array([end], np.uint32), np.array([1]))[0])
             units = units + 1
         length = memory.length[entry]
-        ends = np.cumsum(length)
+        ends = np.cumsum(length, dtype=np.int64)
         ids = memory.flat[np.repeat(memory.start[entry] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
         marks = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(units)])]
         memory.n, memory.used = registered  # what follows isn't remembered
