@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of documents in one Arrow batch. Texts are whole, so this bounds what a Python worker holds.
+#: Rows of documents in one batch, of Arrow and of the Parquet reader. Texts are whole, so this bounds what a worker holds.
 ARROW_ROWS = "500"
 
 #: Separators of words in the contracts: blank and U+0009 to U+000D.
@@ -25,8 +25,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to ARROW_ROWS rows for the plans that follow."""
+    """Holds batches of Arrow and of the Parquet reader to ARROW_ROWS rows for the plans that follow in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", ARROW_ROWS)
 
 
 def remembered(key: tuple, make: Callable[[], Any]) -> Any:
