@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.llm import jaccard, language, mixing, packing, secrets
-from gradeline.llm.common import discard, documents, written
+from gradeline.llm.common import discard, documents, small_batches, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies of the corpus: words of a shingle and least Jaccard similarity, in percent. op7_grouped_prefix_join has its own.
@@ -43,6 +43,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by a mark. n_chars follows the text."""
+    small_batches(spark)
     clean = secrets.redact(docs.select(*COLUMNS), secrets.train(docs))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*COLUMNS)
 
@@ -52,6 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A pass that takes all words keeps the text as it is; documents that the mix doesn't take go.
     """
+    small_batches(spark)
     docs = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "mix-rows")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(mixing.WORD)), F.lit(0)).cast("long")
     spans = mixing.schedule(docs.select("row", "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("tie")))
