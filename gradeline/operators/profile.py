@@ -52,23 +52,32 @@ def stretches(points: DataFrame, *values: str) -> DataFrame:
     return inner.unionByName(first)
 
 
-def interpolate(samples: DataFrame, points: DataFrame, *values: str) -> DataFrame:
-    """samples (profile_id, x, ...) with each value of points at x.
+def _placed(samples: DataFrame, points: DataFrame, *values: str) -> DataFrame:
+    """samples with _stretch, the last stretch that began, and _closed, the last one that began and isn't endless.
 
-    Samples and stretches stand in one order along the profile, and each sample takes the last stretch that began: one
-    sort and one running window, however many knots and samples a profile has. Samples of unknown profiles go.
+    Samples and stretches stand in one order along the profile: one sort and one running window, however many knots and
+    samples a profile has. Samples of unknown profiles go.
     """
     ends = ["x0", "x1", *(f"{v}{i}" for v in values for i in (0, 1))]
     knots = stretches(points, *values).select("profile_id", F.col("x0").alias("x"), F.struct(*ends).alias("_stretch"))
     both = knots.unionByName(samples.withColumn("_sample", F.lit(1)), allowMissingColumns=True)
     so_far = W.partitionBy("profile_id").orderBy("x", F.col("_sample").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = both.withColumn("_stretch", F.last("_stretch", ignorenulls=True).over(so_far)).where("_sample = 1 AND _stretch IS NOT NULL").select(*samples.columns, "_stretch.*")
+    last = {"_stretch": F.col("_stretch"), "_closed": F.when(F.col("_stretch.x1") < float("inf"), F.col("_stretch"))}
+    found = both.withColumns({name: F.last(s, ignorenulls=True).over(so_far) for name, s in last.items()})
+    return found.where("_sample = 1 AND _stretch IS NOT NULL").select(*samples.columns, *last)
+
 
-    def at(v: str) -> Column:
-        inside = F.col(f"{v}0") + (F.col(f"{v}1") - F.col(f"{v}0")) * ((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")))
-        return F.when(F.col(f"{v}1").isNull() | F.isnan(inside) | (F.col("x0") == float("-inf")), F.col(f"{v}0")).otherwise(inside).alias(v)
+def _between(v: str, part: Column) -> Column:
+    """The value a part of the way along _stretch; the constant one before the first knot and after the last."""
+    v0, v1 = F.col(f"_stretch.{v}0"), F.col(f"_stretch.{v}1")
+    inside = v0 + (v1 - v0) * part
+    return F.when(v1.isNull() | F.isnan(inside) | (F.col("_stretch.x0") == float("-inf")), v0).otherwise(inside).alias(v)
 
-    return found.select(*samples.columns, *map(at, values))
+
+def interpolate(samples: DataFrame, points: DataFrame, *values: str) -> DataFrame:
+    """samples (profile_id, x, ...) with each value of points at x. Samples of unknown profiles go."""
+    x0, x1 = F.col("_stretch.x0"), F.col("_stretch.x1")
+    return _placed(samples, points, *values).select(*samples.columns, *(_between(v, (F.col("x") - x0) / (x1 - x0)) for v in values))
 
 
 def bins(points: DataFrame, bin_m: float) -> DataFrame:
@@ -77,12 +86,28 @@ def bins(points: DataFrame, bin_m: float) -> DataFrame:
     return total.withColumn("n_bins", F.greatest(F.lit(2), F.bround(F.col("total") / bin_m).cast("int")))
 
 
+def _on_grid(s: str) -> Column:
+    """Whether a stretch begins at a whole multiple of its length, as all do on a grid that starts at 0."""
+    place = F.col(f"{s}.x0") / (F.col(f"{s}.x1") - F.col(f"{s}.x0"))
+    return place == F.rint(place)
+
+
 def resample(points: DataFrame, bin_m: float) -> DataFrame:
-    """profile_id, bin_idx, grade: the percent grade of each of equal bins, from elevations interpolated at their edges."""
+    """profile_id, bin_idx, grade: the percent grade of each of equal bins, from elevations interpolated at their edges.
+
+    On an even grid an edge's place is counted in stretches, and the last edge lies at the end of the last stretch, as in
+    the SQL: a grade on the border of two bands, such as 0, is off by some 1e-15 either way, which decides its band.
+    """
+    step, end = F.col("total") / F.col("n_bins"), F.col("i") == F.col("n_bins")
     edges = bins(points, bin_m).select("profile_id", "total", "n_bins", F.explode(F.sequence(F.lit(0), F.col("n_bins"))).alias("i"))
-    edges = edges.withColumn("x", F.when(F.col("i") == F.col("n_bins"), F.col("total")).otherwise(F.col("i") * (F.col("total") / F.col("n_bins"))))
-    found = interpolate(edges, points, "ele_m").withColumn("next", F.lead("ele_m").over(W.partitionBy("profile_id").orderBy("i")))
-    return found.where("next IS NOT NULL").select("profile_id", F.col("i").alias("bin_idx"), ((F.col("next") - F.col("ele_m")) / (F.col("total") / F.col("n_bins")) * 100).alias("grade"))
+    edges = edges.withColumn("x", F.when(end, F.col("total")).otherwise(F.col("i") * step))
+    # a last knot that shares its place with others may have another elevation than the one that ends the stretch
+    ends = end & _on_grid("_closed") & (F.col("_closed.ele_m1") == F.col("_stretch.ele_m0"))
+    placed = _placed(edges, points, "ele_m").withColumn("_stretch", F.when(ends, F.col("_closed")).otherwise(F.col("_stretch")))
+    x0, length = F.col("_stretch.x0"), F.col("_stretch.x1") - F.col("_stretch.x0")
+    part = F.when(_on_grid("_stretch"), F.col("i") * step / length - x0 / length).otherwise((F.col("x") - x0) / length)
+    found = placed.select(*edges.columns, _between("ele_m", part)).withColumn("next", F.lead("ele_m").over(W.partitionBy("profile_id").orderBy("i")))
+    return found.where("next IS NOT NULL").select("profile_id", F.col("i").alias("bin_idx"), ((F.col("next") - F.col("ele_m")) / step * 100).alias("grade"))
 
 
 def grade_arrays(grades: DataFrame) -> DataFrame:

@@ -85,6 +85,26 @@ def test_band_edges_and_text(spark):
     assert bands.composition(shares).first()["composition"].startswith("12% <0%, 12% 0-2%")
 
 
+def steady_slopes(folder):
+    """Events whose gentle profiles climb by as many percent as a band begins with, or not at all: grades on borders."""
+    n = range(45, 100)
+    rows = [(u * 1000 + i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=i), u, 20.0 * (u % 6) * i + 0.37 * (u % 7)) for u in n for i in range(u)]
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "value"]).to_parquet(folder / "events.parquet", coerce_timestamps="us")
+    return str(folder)
+
+
+def same_as_sql(spark, folder, name):
+    got = catalogue.queries()[name](spark, folder)
+    with duckdb.connect() as db:
+        db.execute(f"create view events as select * from '{folder}/events.parquet'")
+        want = db.execute(f"select {', '.join(got.columns)} from ({catalogue.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_shares_of_grades_on_borders_are_those_of_the_sql(spark, tmp_path):
+    same_as_sql(spark, steady_slopes(tmp_path), "grade_bands")
+
+
 def test_penalties_and_tiers(spark):
     rows = [(400.0, "found"), (401.0, "found"), (800.0, "found"), (1199.0, "found"), (1200.0, "found"), (None, "none"), (None, "unchecked")]
     df = spark.createDataFrame(rows, "d double, s string").select(access_penalty(F.col("s"), F.col("d"), 400, 1200).alias("p"), probe_tier(F.col("d")).alias("t"))
