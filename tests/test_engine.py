@@ -105,6 +105,10 @@ def test_shares_of_grades_on_borders_are_those_of_the_sql(spark, tmp_path):
     same_as_sql(spark, steady_slopes(tmp_path), "grade_bands")
 
 
+def test_texts_of_grades_on_borders_are_those_of_the_sql(spark, tmp_path):
+    same_as_sql(spark, steady_slopes(tmp_path), "composition_text")
+
+
 def test_penalties_and_tiers(spark):
     rows = [(400.0, "found"), (401.0, "found"), (800.0, "found"), (1199.0, "found"), (1200.0, "found"), (None, "none"), (None, "unchecked")]
     df = spark.createDataFrame(rows, "d double, s string").select(access_penalty(F.col("s"), F.col("d"), 400, 1200).alias("p"), probe_tier(F.col("d")).alias("t"))
