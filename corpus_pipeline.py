@@ -1,6 +1,7 @@
 """A corpus pipeline over the documents: language, near copies, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the docs of the next.
+Each begins with the executors' heaps as small as they get, as what one stage took would stay beside the workers of the next.
 All but the last return the columns of documents. A null in any column, texts of any length, repeated rows, empty tables
 and further columns are as the operators' docstrings say; further columns are dropped.
 """
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.llm import jaccard, language, mixing, packing, secrets
-from gradeline.llm.common import discard, documents, small_batches, written
+from gradeline.llm.common import discard, documents, give_back_heap, small_batches, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies of the corpus: words of a shingle and least Jaccard similarity, in percent. op7_grouped_prefix_join has its own.
@@ -20,6 +21,7 @@ COPY_WORDS, COPY_NEAR = 5, 80
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is ambiguous; learns from those that aren't held out."""
+    give_back_heap(spark)
     model = language.fit(docs, ~language.held_out())
     return language.identify(docs.select(*COLUMNS), model).where("NOT ambiguous").select(*COLUMNS)
 
@@ -31,6 +33,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows are told apart by a number, not by id: different texts under one id, or without an id, are documents of their
     own, and copies among them go. A row with an id is kept before one without; rows alike in id are told by number.
     """
+    give_back_heap(spark)
     place = F.monotonically_increasing_id()
     # the number of the partition, mixed into the lower half, keeps filters on the number's last bits selective
     number = place.bitwiseXOR((F.shiftright(place, 33) * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << 33) - 1)))
@@ -43,6 +46,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by a mark. n_chars follows the text."""
+    give_back_heap(spark)
     small_batches(spark)
     clean = secrets.redact(docs.select(*COLUMNS), secrets.train(docs))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*COLUMNS)
@@ -53,6 +57,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A pass that takes all words keeps the text as it is; documents that the mix doesn't take go.
     """
+    give_back_heap(spark)
     small_batches(spark)
     docs = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "mix-rows")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(mixing.WORD)), F.lit(0)).cast("long")
@@ -69,6 +74,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 2,048 tokens."""
     import public_tokenizers as P
 
+    give_back_heap(spark)
     return packing.pack(docs, P.path("word_bpe_49k.json"), end=1)
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of documents in one batch, of Arrow and of the Parquet reader. Texts are whole, so this bounds what a worker holds.
@@ -45,6 +47,34 @@ def forget() -> None:
 
 _remembered: dict[tuple, Any] = {}
 
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(kernel: Kernel) -> Kernel:
+    """The kernel, whose worker returns what it has freed to the system when the task ends, as workers wait between tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed; Arrow's pool and malloc keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def give_back_heap(spark: SparkSession) -> None:
+    """Has the executors' JVMs drop garbage and return heap that they no longer need: a task in each free core."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").collect()
+
 
 def unused(name: str, columns: list[str]) -> str:
     """name, with underscores in front until none of the columns has it."""

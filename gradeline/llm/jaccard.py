@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, forget, small_batches, written
+from .common import discard, documents, forget, released, small_batches, written
 from .components import components
 
 #: Words of a shingle and the similarity of a link, in percent, where a caller names none: those of op7_grouped_prefix_join.
@@ -42,7 +42,7 @@ BUCKETS, BLOCK, BITS = 1 << 22, 1 << 16, 512
 #: lets more through to the joins behind it and costs time, not results.
 MARKS = 1 << 25
 #: Bytes of text that are hashed at a time.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 
 _U = np.uint64
 _rng = np.random.default_rng(7)
@@ -164,7 +164,7 @@ def _rank(total: np.ndarray) -> np.ndarray:
 
 def _bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
     """Ranks of the hash buckets by their shingles in all documents: BUCKETS bytes, however large the input."""
-    parts = docs.select("text").mapInArrow(_count(words), "block int, counts binary")
+    parts = docs.select("text").mapInArrow(released(_count(words)), "block int, counts binary")
     rows = parts.groupBy("block").applyInPandas(_summed, "block int, counts binary").collect()
     counts = np.zeros(BUCKETS, np.uint8)
     for r in rows:
@@ -267,7 +267,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, ne
     close = pairs.distinct().join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(f"{differ} <= nu + nv - 2 * {_overlap('nu', 'nv', near)}").select("u", "v", "nu", "nv")
     close = written(close, "close-pairs")
     sides = _sets_of(_marks(close, "u"), _marks(close, "v"), words)
-    found = written(docs.where("doc_id IS NOT NULL").mapInArrow(sides, "rep long, s array<long>, is_u boolean, is_v boolean"), "verify-sets")
+    found = written(docs.where("doc_id IS NOT NULL").mapInArrow(released(sides), "rep long, s array<long>, is_u boolean, is_v boolean"), "verify-sets")
     a, b = (found.where(f"is_{c}").select(F.col("rep").alias(c), F.col("s").alias(f"s{c}")) for c in ("u", "v"))
     both = F.size(F.array_intersect("su", "sv"))
     links = close.join(b.hint("merge"), "v").join(a.hint("merge"), "u").where((near + 100) * both >= near * (F.col("nu") + F.col("nv"))).select("u", "v")
@@ -281,7 +281,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = _bucket_counts(docs, words)
-    every = written(docs.mapInArrow(_prefixed(counts, words, near), "doc_id long, n long, digest binary, grp binary, prefix array<long>, bitmap array<long>"), "prefixes")
+    every = written(docs.mapInArrow(released(_prefixed(counts, words, near)), "doc_id long, n long, digest binary, grp binary, prefix array<long>, bitmap array<long>"), "prefixes")
 
     # equal sets, and groups of one size and prefix; both are named by their smallest id
     classes = written(every.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("rep")), "classes")
@@ -294,7 +294,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # lists under prefix shingles that more than one document has
     entries = heads.select(F.posexplode("prefix").alias("p", "token"), "gid", "n", "members")
     shared = written(entries.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token"), "lists")
-    likely = heads.select("gid", "n", "prefix").mapInArrow(_entries(_marks(shared, "token")), "token long, p int, gid long, n long")
+    likely = heads.select("gid", "n", "prefix").mapInArrow(released(_entries(_marks(shared, "token"))), "token long, p int, gid long, n long")
     lists = written(likely.join(shared, "token", "left_semi"), "entries")
     discard(shared)
 

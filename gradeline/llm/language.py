@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, small_batches, unused
+from .common import documents, forget, released, small_batches, unused
 
 #: Bounds of the sample that the classifiers are fitted on, in documents, labels, and bytes of counts on the driver.
 PER_LANGUAGE, SAMPLE, LANGUAGES, COUNTED = 1000, 20_000, 200, 1 << 27
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: st
                 out.append(place.astype("<u2").tobytes() + count.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "counts"])
 
-    sample = chosen.select(lang.alias("lang"), text.alias("text")).mapInArrow(counted, "lang string, counts binary").toPandas()
+    sample = chosen.select(lang.alias("lang"), text.alias("text")).mapInArrow(released(counted), "lang string, counts binary").toPandas()
     if sample.empty:
         return _fit([], np.zeros(0, np.int64), [])
     languages = sorted(set(sample["lang"]))
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             lang, score = model.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang), pa.array(score), pa.array(score < SURE)], names=[*kept, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias(unused("__text", kept))).mapInArrow(predict, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias(unused("__text", kept))).mapInArrow(released(predict), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

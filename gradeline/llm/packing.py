@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, written
+from .common import documents, released, small_batches, written
 from .tokenize import encoder
 
 #: Open windows of a partition.
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 2048, id_col: st
     """The pieces of all documents: where each starts in its document, and its sequence and offset there."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = written(source.mapInArrow(_pack_partition(tokenizer, end, size), f"{PIECES}, ids binary, part long"), "pieces")
+    first = written(source.mapInArrow(released(_pack_partition(tokenizer, end, size)), f"{PIECES}, ids binary, part long"), "pieces")
     last = first.where("ids IS NOT NULL").groupBy((F.col("part") / PARTITIONS).cast("long").alias("few")).applyInPandas(_pack_last(size), PIECES)
     return first.where("ids IS NULL").select(*COLUMNS).unionByName(last)
 

@@ -469,3 +469,31 @@ def test_site_quality_against_plain_posteriors(spark):
         odds = got[i]["evidence"] + np.log(of_path / (1 - of_path))
         assert got[i]["host_share"] == pytest.approx(of_host) and got[i]["path_share"] == pytest.approx(of_path)
         assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-odds))) and got[i]["kept"] == (got[i]["score"] >= 0.5)
+
+
+def test_stages_give_heap_back(spark, monkeypatch):
+    import corpus_pipeline
+    from gradeline.llm import common
+
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    spark.range(0, 2000000, 1, 4).selectExpr("id % 1000 AS k", "repeat(cast(id AS string), 20) AS s").groupBy("k").agg(F.collect_list("s")).write.format("noop").mode("overwrite").save()
+    before = heap.totalMemory()
+    common.give_back_heap(spark)
+    assert heap.totalMemory() < before * 0.7
+    docs = spark.createDataFrame([(i, prose(i, 30), "en", "a", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "give_back_heap", called.append)
+    corpus_pipeline.without_secrets(spark, docs, "")
+    assert called == [spark]
+
+
+def test_workers_give_back_when_a_task_ends(monkeypatch):
+    from gradeline.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append("given back"))
+    run = common.released(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(run) == 2 and not done
+    assert list(run) == [3] and done == ["given back"]
+    monkeypatch.undo()
+    common.give_back()
