@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of documents in one batch, of Arrow and of the Parquet reader. Texts are whole, so this bounds what a worker holds.
@@ -71,9 +72,32 @@ def give_back() -> None:
 
 
 def give_back_heap(spark: SparkSession) -> None:
-    """Has the executors' JVMs drop garbage and return heap that they no longer need: a task in each free core."""
+    """Has the executors' JVMs, a task in each free core, and the driver's drop garbage and return heap that they no longer need."""
     n = max(1, spark.sparkContext.defaultParallelism)
     spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").collect()
+    give_back_driver(spark)
+
+
+def give_back_driver(spark: SparkSession) -> None:
+    """Has the driver's JVM drop garbage, return unused heap and what its compilers have freed; malloc keeps that otherwise."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+
+    def array(kind: Any, values: list) -> Any:
+        out = new(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    try:  # the server's own class isn't open to the gateway, its interface is
+        kind = jvm.java.lang.Class.forName
+        types = [kind(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        call = kind("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, types))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args = [name, "systemTrimNativeHeap", new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)]
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, args))
+    except Py4JError:  # only some JVMs have this command
+        pass
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, give_back_driver, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         last, now = now, written(_small(_large(now)), "links")
         discard(last)
+        give_back_driver(links.sparkSession)
         state, before = _state(now), state
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

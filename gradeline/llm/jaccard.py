@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, forget, released, small_batches, written
+from .common import discard, documents, forget, give_back_driver, released, small_batches, written
 from .components import components
 
 #: Words of a shingle and the similarity of a link, in percent, where a caller names none: those of op7_grouped_prefix_join.
@@ -273,6 +273,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, ne
     links = close.join(b.hint("merge"), "v").join(a.hint("merge"), "u").where((near + 100) * both >= near * (F.col("nu") + F.col("nv"))).select("u", "v")
     links = written(links, "links")
     discard(close, found)
+    give_back_driver(docs.sparkSession)
     return links
 
 
@@ -291,6 +292,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = written(firsts.withColumn("prefix", F.when(F.col("rep") == F.col("gid"), F.col("prefix"))), "representatives")
     sets, heads = firsts.select("rep", "n", "bitmap"), firsts.where("rep = gid").select("gid", "n", "members", "prefix")
 
+    give_back_driver(docs.sparkSession)
+
     # lists under prefix shingles that more than one document has
     entries = heads.select(F.posexplode("prefix").alias("p", "token"), "gid", "n", "members")
     shared = written(entries.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token"), "lists")
