@@ -97,6 +97,7 @@ def resample(points: DataFrame, bin_m: float) -> DataFrame:
 
     On an even grid an edge's place is counted in stretches, and the last edge lies at the end of the last stretch, as in
     the SQL: a grade on the border of two bands, such as 0, is off by some 1e-15 either way, which decides its band.
+    A bin beside a knot without elevation has the grade null, and NaN and infinity are carried on.
     """
     step, end = F.col("total") / F.col("n_bins"), F.col("i") == F.col("n_bins")
     edges = bins(points, bin_m).select("profile_id", "total", "n_bins", F.explode(F.sequence(F.lit(0), F.col("n_bins"))).alias("i"))
@@ -106,8 +107,10 @@ def resample(points: DataFrame, bin_m: float) -> DataFrame:
     placed = _placed(edges, points, "ele_m").withColumn("_stretch", F.when(ends, F.col("_closed")).otherwise(F.col("_stretch")))
     x0, length = F.col("_stretch.x0"), F.col("_stretch.x1") - F.col("_stretch.x0")
     part = F.when(_on_grid("_stretch"), F.col("i") * step / length - x0 / length).otherwise((F.col("x") - x0) / length)
-    found = placed.select(*edges.columns, _between("ele_m", part)).withColumn("next", F.lead("ele_m").over(W.partitionBy("profile_id").orderBy("i")))
-    return found.where("next IS NOT NULL").select("profile_id", F.col("i").alias("bin_idx"), ((F.col("next") - F.col("ele_m")) / step * 100).alias("grade"))
+    inner = (F.col("_stretch.x0") > float("-inf")) & (F.col("_stretch.x1") < float("inf"))
+    ele = F.when(inner, F.col("_stretch.ele_m0") + (F.col("_stretch.ele_m1") - F.col("_stretch.ele_m0")) * part).otherwise(F.col("_stretch.ele_m0"))
+    found = placed.select(*edges.columns, ele.alias("ele_m")).withColumn("next", F.lead("ele_m").over(W.partitionBy("profile_id").orderBy("i")))
+    return found.where("i < n_bins").select("profile_id", F.col("i").alias("bin_idx"), ((F.col("next") - F.col("ele_m")) / step * 100).alias("grade"))
 
 
 def grade_arrays(grades: DataFrame) -> DataFrame:

@@ -109,6 +109,15 @@ def test_texts_of_grades_on_borders_are_those_of_the_sql(spark, tmp_path):
     same_as_sql(spark, steady_slopes(tmp_path), "composition_text")
 
 
+@pytest.mark.parametrize("odd", ["null", "'nan'", "'inf'"])
+def test_texts_of_tracks_with_odd_elevations_are_those_of_the_sql(spark, tmp_path, odd):
+    plain, folder = steady_slopes(tmp_path), tmp_path / "odd"
+    folder.mkdir()
+    with duckdb.connect() as db:
+        db.execute(f"copy (select * replace (case when event_id%7=0 then {odd}::double else value end as value) from '{plain}/events.parquet') to '{folder}/events.parquet'")
+    same_as_sql(spark, str(folder), "composition_text")
+
+
 def test_penalties_and_tiers(spark):
     rows = [(400.0, "found"), (401.0, "found"), (800.0, "found"), (1199.0, "found"), (1200.0, "found"), (None, "none"), (None, "unchecked")]
     df = spark.createDataFrame(rows, "d double, s string").select(access_penalty(F.col("s"), F.col("d"), 400, 1200).alias("p"), probe_tier(F.col("d")).alias("t"))
