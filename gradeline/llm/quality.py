@@ -57,15 +57,18 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, flo
     base = log((y.sum() + 1) / (len(y) - y.sum() + 1))
     if len(set(y.tolist())) < 2:
         return np.zeros(1 + 2 * N), base
-    a = np.column_stack([np.ones(len(x)), x, x * x])
-    spread = np.maximum(a.std(0), 1e-6)
-    spread[0] = 1
-    a, w = a / spread, np.zeros(a.shape[1])
+    a = np.column_stack([x, x * x])
+    mean, spread = a.mean(0), a.std(0)
+    # a column that doesn't vary, but for rounding, tells nothing; scaled up it would make the equations singular
+    varies = spread > 1e-9 * np.maximum(np.abs(a).max(0), 1e-3)
+    a = np.column_stack([np.ones(len(x)), np.where(varies, (a - mean) / np.where(varies, spread, 1), 0)])
+    w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         slope = a.T @ (y - p) - 1.0 * w
         w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.eye(len(w)), slope)
-    return w / spread, base
+    scaled = np.where(varies, w[1:] / np.where(varies, spread, 1), 0)
+    return np.concatenate([[w[0] - scaled @ mean], scaled]), base
 
 
 def _evidence(w: np.ndarray, base: float) -> Column:

@@ -474,6 +474,20 @@ def test_site_quality_against_plain_posteriors(spark):
         assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-odds))) and got[i]["kept"] == (got[i]["score"] >= 0.5)
 
 
+def test_quality_fit_with_statistics_that_do_not_vary():
+    """Texts of one length: the words' logarithm differs by rounding only. The fit doesn't depend on such columns."""
+    r = np.random.default_rng(1)
+    y = (r.random(400) < 0.4).astype(float)
+    plain = np.zeros((400, quality.N))
+    plain[:, 2] = y + r.normal(size=400)
+    for value in (np.log(60), 1e3, 1e6):
+        x = plain.copy()
+        x[:, 4:8] = value * (1 + 1e-16 * r.integers(0, 3, (400, 4)))
+        (w, base), (v, _) = quality.fit(x, y), quality.fit(plain, y)
+        said = [np.column_stack([np.ones(400), z, z * z]) @ u - base for z, u in ((x, w), (plain, v))]
+        assert np.allclose(*said) and np.corrcoef(said[0], y)[0, 1] > 0.3
+
+
 def test_stages_give_heap_back(spark, monkeypatch):
     import corpus_pipeline
     from gradeline.llm import common
